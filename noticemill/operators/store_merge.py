@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticemill.functions.text import blank_to_null, text_or_empty
+from noticemill.session import broadcast_if_small, cut_lineage
 
 _TEXTS = ("clean_content", "raw_content", "summary")
 LIFECYCLE_REASON = "同项目编号不同公告类型，关联但不合并"
@@ -192,18 +193,20 @@ def snapshot_rows(candidates: DataFrame, hints: DataFrame) -> DataFrame:
         F.substring(text_or_empty(F.col("clean_content")), 1, 8000).alias("clean_content"))
 
 
-def number_rows(rows: DataFrame, order: str, name: str = "row_no") -> DataFrame:
-    """1-based position in ``order`` without one sorting task for everything."""
-    from pyspark.sql import Window
-
-    from noticemill.session import cut_lineage
+def number_rows(rows: DataFrame, order: str, name: str = "row_no", keys: list[str] | None = None) -> DataFrame:
+    """1-based position in ``order`` (per key group) without one sorting task per group.
 
+    Rows are range-partitioned by key and order, so a large group spans many tasks; a
+    row's number is its place inside its range plus the rows of its group before it.
+    """
+    keys = keys or []
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = cut_lineage(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
-    counts = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    # one row per range: at most as many as there are shuffle partitions
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("n").over(
-        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_offset")
-    inside = Window.partitionBy("_part").orderBy(order)
-    return spread.join(F.broadcast(offsets), "_part").withColumn(
-        name, (F.col("_offset") + F.row_number().over(inside))).drop("_part", "_offset")
+    spread = cut_lineage(rows.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()))
+    # one row per range and group in it: ranges plus groups in total
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spread.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("_part", *keys).orderBy(order)
+    return spread.withColumn("_at", F.row_number().over(inside)).join(
+        broadcast_if_small(offsets), [*keys, "_part"]).withColumn(
+        name, F.col("_offset") + F.col("_at")).drop("_part", "_offset", "_at")
