@@ -305,11 +305,14 @@ def _marker_page(content: Column, q: Column) -> Column:
     return F.when(content.isNotNull() & (at > 0), F.try_element_at(marks, F.lit(-1)).cast("int"))
 
 
-def field_values(wide: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """The long table, one row per notice and field, with page-aware evidence."""
+def field_values(wide: DataFrame, pages: DataFrame | None = None, fields: Sequence[str] | None = None) -> DataFrame:
+    """The long table, one row per notice and field, with page-aware evidence.
+
+    Naming only the ``fields`` needed prunes the scans of all others.
+    """
     marked = F.when(F.contains(F.col("clean_content"), F.lit("【第")), F.col("clean_content"))
     rows = []
-    for name in EVIDENCE_FIELDS + PLAIN_FIELDS:
+    for name in fields or EVIDENCE_FIELDS + PLAIN_FIELDS:
         hit = F.col("f_" + name) if "f_" + name in wide.columns else F.lit(None).cast(_HIT)
         plain = F.col("p_" + name) if "p_" + name in wide.columns else F.lit(None).cast("string")
         rows.append(F.struct(F.lit(name).alias("field_name"), hit.alias("hit"), plain.alias("plain")))

@@ -16,7 +16,7 @@ def _wide(spark, sf, code=False):
 
 def _one(field):
     def run(spark, sf):
-        return extraction.field_values(_wide(spark, sf)).where(F.col("field_name") == field).select(
+        return extraction.field_values(_wide(spark, sf), fields=[field]).select(
             "notice_id", "value", "source_label", "status", "evidence_id")
     return run
 
@@ -62,14 +62,14 @@ def acquisition_window(spark, sf):
 def title_purchaser(spark, sf):
     title = F.concat(F.col("buyer"), F.when(F.col("notice_id") % 2 == 0, "有限公司").otherwise("管理局"), F.lit("设备采购"))
     rows = V.notices(spark, sf).withColumn("title", title).withColumn("clean_content", F.lit("正文"))
-    values = extraction.field_values(extraction.extract_wide(rows))
+    values = extraction.field_values(extraction.extract_wide(rows), fields=["purchaser"])
     return values.where("field_name = 'purchaser'").select("notice_id", "value", "status")
 
 
 def purchaser_consistency(spark, sf):
     text = F.concat(F.lit("采 购 人 ："), F.when(F.col("notice_id") % 2 == 0, F.col("buyer")).otherwise(F.lit("联系方式")), F.lit("\n完"))
     rows = V.notices(spark, sf).withColumn("title", F.lit("公告")).withColumn("clean_content", text)
-    values = extraction.field_values(extraction.extract_wide(rows))
+    values = extraction.field_values(extraction.extract_wide(rows), fields=["purchaser"])
     return values.where("field_name = 'purchaser' AND status <> 'unavailable_no_detail'").select("notice_id", "value", "status", "method")
 
 
@@ -135,7 +135,7 @@ def _corrections(spark, sf):
 
 
 def correction_replay(spark, sf):
-    values = extraction.field_values(_wide(spark, sf)).where("field_name IN ('purchaser', 'budget')")
+    values = extraction.field_values(_wide(spark, sf), fields=["purchaser", "budget"])
     fixed = evidence.replay_corrections(values, _corrections(spark, sf))
     return fixed.where("status = 'corrected'").select("notice_id", "field_name", F.col("value").cast("double").alias("value"),
                                                       "evidence_id")
@@ -143,7 +143,7 @@ def correction_replay(spark, sf):
 
 def correction_check(spark, sf):
     accepted, rejected = evidence.check_corrections(
-        _corrections(spark, sf), extraction.field_values(_wide(spark, sf)).where("field_name IN ('purchaser', 'budget')"))
+        _corrections(spark, sf), extraction.field_values(_wide(spark, sf), fields=["purchaser", "budget"]))
     return accepted.select("correction_id", "previous_value", F.lit(None).cast("string").alias("error")).unionByName(
         rejected.select("correction_id", F.lit(None).cast("string").alias("previous_value"), "error"))
 

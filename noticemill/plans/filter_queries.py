@@ -11,7 +11,7 @@ from noticemill.functions import text as X
 from noticemill.operators import delivery, filters, listing, matching
 from noticemill.plans import views as V
 
-ONE = filters.Criteria(keywords=("BUILDING", "MACHINERY"), regions=("FRANCE", "GERMANY", "CHINA"),
+ONE = filters.Criteria(keywords=("BUILDING", "MACHINERY"), regions=("NATION_7", "NATION_12", "NATION_18"),
                        start_date=date(1996, 1, 1), end_date=date(1998, 12, 31))
 RUN_AT = datetime(1998, 6, 15, 9, 0)
 
@@ -146,7 +146,7 @@ _NOISY = """, noisy AS (SELECT * REPLACE (CASE WHEN notice_id % 17 = 0 THEN titl
 _LIST = _NOISY + """, flt AS (SELECT *, CASE
   WHEN contains(title, '培训班') OR NOT regexp_matches(title, '招标|采购|投标|中标|询价|磋商|谈判|比选|邀标|竞价') THEN '非招标/采购类标题'
   WHEN NOT (contains(title || ' ' || coalesce(region, ''), 'BUILDING') OR contains(title || ' ' || coalesce(region, ''), 'MACHINERY')) THEN '关键词不匹配'
-  WHEN region IS NOT NULL AND NOT regexp_matches(region || ' ' || title, 'FRANCE|GERMANY|CHINA') THEN '区域不匹配'
+  WHEN region IS NOT NULL AND NOT regexp_matches(region || ' ' || title, 'NATION_7|NATION_12|NATION_18') THEN '区域不匹配'
   WHEN publish_time IS NOT NULL AND NOT (publish_time BETWEEN DATE '1996-01-01' AND DATE '1998-12-31') THEN '发布时间不在范围内'
   END AS reason FROM noisy)"""
 _HASH = "sha256(concat(n.title, '|', substr(n.clean_content, 1, 2000), '|', n.source_url))"
@@ -182,7 +182,7 @@ SELECT notice_id, CASE
   WHEN contains(title || substr(blob, 1, 200), '培训班')
     OR NOT regexp_matches(title || substr(blob, 1, 200), '招标|采购|投标|中标|询价|磋商|谈判|比选|邀标|竞价') THEN '详情非招标/采购类'
   WHEN NOT regexp_matches(blob, 'BUILDING|MACHINERY') THEN '详情关键词不匹配'
-  WHEN NOT regexp_matches(blob, 'FRANCE|GERMANY|CHINA') THEN '详情区域不匹配'
+  WHEN NOT regexp_matches(blob, 'NATION_7|NATION_12|NATION_18') THEN '详情区域不匹配'
   WHEN publish_time IS NOT NULL AND NOT (publish_time BETWEEN DATE '1996-01-01' AND DATE '1998-12-31') THEN '详情发布时间不在范围内'
   END AS reason FROM b"""),
     "detail_cap": (detail_cap, N + _LIST + """SELECT source_name, notice_id FROM (SELECT *, row_number() OVER (
