@@ -10,6 +10,7 @@ from noticemill.functions import dates as D
 from noticemill.functions import text as X
 from noticemill.functions.text import blank_to_null, strip, text_or_empty
 from noticemill.sources.pages import main_text
+from noticemill.session import cut_lineage
 from noticemill.sources.schemas import LIST_PAYLOAD
 
 # fixed values: keys of the detail payload, in order of preference
@@ -73,6 +74,12 @@ def _is_container(node: Column) -> Column:
     return F.rlike(F.schema_of_variant(node), F.lit("^(OBJECT|ARRAY)"))
 
 
+def _next_level(children: DataFrame) -> DataFrame | None:
+    """The children that hold further nodes, computed once; None when there are none."""
+    deeper = cut_lineage(children.where(_is_container(F.col("node"))).withColumn("node", F.to_json("node")))
+    return None if deeper.isEmpty() else deeper.withColumn("node", F.parse_json("node"))
+
+
 def verified_details(payloads: DataFrame) -> DataFrame:
     """First detail node of each payload that can be tied to its list item.
 
@@ -95,8 +102,8 @@ def verified_details(payloads: DataFrame) -> DataFrame:
             has = has | F.try_variant_get(node, "$." + key, "variant").isNotNull()
         hits = checked.where("verified").where(has).select("payload_id", "path", "node")
         found = hits if found is None else found.unionByName(hits)
-        deeper = _children(checked, ["payload_id", "business_id", "probe", "verified"]).where(_is_container(F.col("node")))
-        if deeper.isEmpty():
+        deeper = _next_level(_children(checked, ["payload_id", "business_id", "probe", "verified"]))
+        if deeper is None:
             break
         level = deeper.select("payload_id", "business_id", "probe", F.array_append("up", F.col("pos").cast("int")).alias("path"),
                               "verified", "node")
@@ -131,8 +138,8 @@ def attachment_urls(payloads: DataFrame) -> DataFrame:
         hits = below.where("inside").where(~_is_container(F.col("node"))).select("payload_id", url.alias("url")).where(
             F.rlike("url", F.lit("^https?://")))
         found = hits if found is None else found.unionByName(hits)
-        deeper = below.where(_is_container(F.col("node")))
-        if deeper.isEmpty():
+        deeper = _next_level(below)
+        if deeper is None:
             break
         level = deeper.select("payload_id", F.lit("").alias("path"), "inside", "node")
     return found.distinct()
