@@ -57,7 +57,7 @@ def closure(counters: DataFrame, keys: list[str]) -> DataFrame:
     passed = _text(["闭合校验通过：", raw, " = ", lst, "+", cap, "+", failed, "+", filt, "+", cand, "；候选", cand, " → 合并",
                     merged, " + 主记录", prim, "；报告", rep, " = 新增", new, "+更新", upd])
     staged = counters.withColumn("notes", notes)
-    return staged.select(*keys, (F.size("notes") == 0).alias("ok"), F.posexplode(
+    return staged.select(*keys, (F.size("notes") == 0).alias("ok"), F.posexplode_outer(
         F.when(F.size("notes") == 0, F.array(passed)).otherwise(F.col("notes"))).alias("pos", "note")).select(
         *keys, "ok", (F.col("pos") + 1).alias("note_no"), "note")
 
@@ -127,7 +127,7 @@ def warnings(runs: DataFrame, statuses: DataFrame, keys: list[str]) -> DataFrame
             "本次快照已达每源 500 条安全上限，truncated=true；报告不声称为完整覆盖。").alias("warning")))))
     failed = statuses.where(F.col("status") != "success").select(*keys, F.lit(2).alias("rank"), F.concat(
         X.source_display(F.col("source_name")), F.lit("："), "message").alias("warning"))
-    return runs.select(*keys, F.inline(flags)).unionByName(failed)
+    return runs.select(*keys, F.inline_outer(flags)).where("rank IS NOT NULL").unionByName(failed)
 
 
 def data_quality(values: DataFrame, notices: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def source_chunks(pages: DataFrame, chunk_chars: int = C.CHUNK_CHARS, max_chunks
         return F.struct(chunk.alias("chunk"), used.alias("used"), F.array_append(acc["out"], F.struct(
             seg["page"].cast("int").alias("page"), seg["part"].alias("part"), chunk.alias("chunk"))).alias("out"))
 
-    placed = lengths.select("notice_id", F.inline(F.aggregate("list", start, step, lambda a: a["out"])))
+    placed = lengths.select("notice_id", F.inline_outer(F.aggregate("list", start, step, lambda a: a["out"])))
     total = placed.groupBy("notice_id").agg(F.max("chunk").alias("last"))
     packed = segments.join(placed, ["notice_id", "page", "part"]).where(F.col("chunk") < max_chunks)
     chunks = packed.groupBy("notice_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(

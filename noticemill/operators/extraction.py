@@ -317,7 +317,7 @@ def field_values(wide: DataFrame, pages: DataFrame | None = None, fields: Sequen
         plain = F.col("p_" + name) if "p_" + name in wide.columns else F.lit(None).cast("string")
         rows.append(F.struct(F.lit(name).alias("field_name"), hit.alias("hit"), plain.alias("plain")))
     # everything below works on the exploded rows, behind the generator
-    listed = wide.select("notice_id", "detail_status", marked.alias("marked"), F.inline(F.array(*rows)))
+    listed = wide.select("notice_id", "detail_status", marked.alias("marked"), F.inline_outer(F.array(*rows)))
     gated = (F.col("detail_status") != "full") & F.col("field_name").isin(*C.DETAIL_ONLY_FIELDS)
     held = F.when(gated & (F.col("hit.confidence") == "title_inference"), F.lit(None).cast(_HIT)).otherwise(F.col("hit"))
     long = listed.withColumn("hit", held).select(
@@ -355,7 +355,7 @@ def quote_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
 
 def clause_rows(wide: DataFrame) -> DataFrame:
     """(notice_id, clause_no, clause)."""
-    return wide.select("notice_id", F.posexplode("clauses").alias("pos", "clause")).select(
+    return wide.select("notice_id", F.posexplode_outer("clauses").alias("pos", "clause")).where("clause IS NOT NULL").select(
         "notice_id", (F.col("pos") + 1).alias("clause_no"), "clause")
 
 

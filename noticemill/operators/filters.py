@@ -200,7 +200,7 @@ def criteria_issues(tasks: DataFrame, now: datetime) -> DataFrame:
               "execute_immediately", "warning"),
     )
     rows = F.filter(rules, lambda r: r.isNotNull())
-    return tasks.select("task_id", F.posexplode(rows).alias("pos", "issue")).select(
+    return tasks.select("task_id", F.posexplode_outer(rows).alias("pos", "issue")).where("issue IS NOT NULL").select(
         "task_id", (F.col("pos") + 1).alias("issue_no"), "issue.*")
 
 
@@ -219,5 +219,6 @@ def criteria_suggestions(issues: DataFrame) -> DataFrame:
         tip(["conflicting_dates"], "检查开始日期是否早于或等于结束日期。"),
     )
     return (issues.groupBy("task_id").agg(F.collect_set("code").alias("codes"))
-            .select("task_id", F.posexplode(F.filter(tips, lambda t: t.isNotNull())).alias("pos", "suggestion"))
+            .select("task_id", F.posexplode_outer(F.filter(tips, lambda t: t.isNotNull())).alias("pos", "suggestion"))
+            .where("suggestion IS NOT NULL")
             .select("task_id", (F.col("pos") + 1).alias("tip_no"), "suggestion"))

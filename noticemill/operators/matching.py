@@ -56,7 +56,7 @@ def match_subscriptions(items: DataFrame, tasks: DataFrame) -> DataFrame:
              .withColumn("anchor", F.substring("term", 1, 2)))
     single = not terms.where(F.length("term") == 1).isEmpty()
     by_term = (
-        texts.withColumn("anchor", F.explode(_anchors("_blob", single)))
+        texts.withColumn("anchor", F.explode_outer(_anchors("_blob", single)))
         .join(broadcast_if_small(terms), "anchor")
         .where(F.contains("_blob", F.col("term")))
         .where(F.element_at(F.filter("t_keywords", lambda k: (k != "") & F.contains(F.col("_blob"), k)), 1)

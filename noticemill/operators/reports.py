@@ -115,7 +115,7 @@ def structured_detail(values: DataFrame) -> DataFrame:
             row = F.when(F.col("tenderer.value").isNotNull()
                          & ~F.col("tenderer.value").eqNullSafe(F.col("purchaser.value")), row)
         rows.append(row)
-    return cells.select("notice_id", F.inline(F.array_compact(F.array(*rows))))
+    return cells.select("notice_id", F.inline_outer(F.array_compact(F.array(*rows)))).where("ord IS NOT NULL")
 
 
 def evidence_table(values: DataFrame, limit: int = 18) -> DataFrame:

@@ -182,7 +182,7 @@ def list_rows(pages: DataFrame, base_url: str, list_class: str | None = "vT-srch
     if list_class:
         html = X.text_or_empty(F.regexp_extract(
             html, r"(?is)<(?:ul|ol)[^>]*class\s*=\s*[\"'][^\"']*" + X.quote(list_class) + r"[^\"']*[\"'][^>]*>(.*?)</(?:ul|ol)>", 1))
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(
+    rows = pages.select("page_id", F.posexplode_outer(F.regexp_extract_all(
         html, F.lit(r"(?is)<li\b[^>]*>(.*?)</li\s*>"), F.lit(1))).alias("pos", "li"))
     link = F.regexp_extract("li", _LINK, 0)
     href = strip(F.concat(*[F.regexp_extract("li", _LINK, i) for i in (1, 2, 3)]))

@@ -35,8 +35,8 @@ TITLE_PROBE_MIN = 6
 
 def list_items(payloads: DataFrame) -> DataFrame:
     """Rows of list payloads (payload_id, body): one item per entry with a title."""
-    rows = payloads.select("payload_id", F.posexplode(F.from_json("body", LIST_PAYLOAD)["object"]["returnlist"])
-                           .alias("pos", "r"))
+    rows = payloads.select("payload_id", F.posexplode_outer(F.from_json("body", LIST_PAYLOAD)["object"]["returnlist"])
+                           .alias("pos", "r")).where("r IS NOT NULL")
     title = strip(text_or_empty(F.col("r.businessObjectName")))
     return rows.select(
         "payload_id", (F.col("pos") + 1).alias("row_no"), title.alias("title"),
