@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticemill import constants as C
 from noticemill.functions.text import blank_to_null, compact, strip, text_or_empty
+from noticemill.operators.store_merge import number_rows
 
 
 def source_chunks(pages: DataFrame, chunk_chars: int = C.CHUNK_CHARS, max_chunks: int = C.CHUNK_MAX) -> DataFrame:
@@ -114,12 +115,10 @@ def _carry(values: DataFrame, source: str, target: str, always: bool) -> DataFra
 
 
 def numbered_corrections(corrections: DataFrame) -> DataFrame:
-    """Corrections with their running number inside the notice, in time order.
-
-    The window is per notice: the history of hand-made corrections of one notice.
-    """
-    w = Window.partitionBy("notice_id").orderBy("corrected_at", "correction_id")
-    return corrections.where("coalesce(field_name, '') <> ''").withColumn("n", F.row_number().over(w))
+    """Corrections with their running number inside the notice, in time order."""
+    ordered = corrections.where("coalesce(field_name, '') <> ''").withColumn(
+        "_order", F.struct("corrected_at", "correction_id"))
+    return number_rows(ordered, "_order", "n", ["notice_id"]).drop("_order")
 
 
 def replay_corrections(values: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticemill.functions.text import text_or_empty
+from noticemill.functions.text import short_region, text_or_empty
 from noticemill.operators import filters
 from noticemill.session import broadcast_if_small
 
@@ -28,12 +28,20 @@ def _anchors(texts: str, with_single: bool):
     return F.array_distinct(grams)
 
 
+def _region_probes():
+    """Regions and their short forms, worked out once per subscription, not per pair."""
+    names = F.coalesce("regions", F.array().cast("array<string>"))
+    short = F.filter(F.transform(names, lambda r: short_region(r)), lambda r: r != "")
+    return F.array_distinct(F.concat(names, short))
+
+
 def _accepted(df: DataFrame) -> DataFrame:
     """The region and date conditions of the list stage for item × subscription rows."""
     region = F.col("region")
     where = F.concat(region, F.lit(" "), F.col("title"))
     return df.where(
-        ((text_or_empty(region) == "") | filters.region_match(where, F.col("t_regions")))
+        ((text_or_empty(region) == "") | (F.size("t_regions") == 0)
+         | F.exists("t_regions", lambda p: F.contains(where, p)))
         & filters.in_date_range(F.col("publish_time"), F.col("t_start"), F.col("t_end"))
     )
 
@@ -46,7 +54,7 @@ def match_subscriptions(items: DataFrame, tasks: DataFrame) -> DataFrame:
     """
     side = tasks.select(
         "task_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("t_keywords"),
-        F.col("regions").alias("t_regions"), F.col("start_date").cast("date").alias("t_start"),
+        _region_probes().alias("t_regions"), F.col("start_date").cast("date").alias("t_start"),
         F.col("end_date").cast("date").alias("t_end"))
     keep = [F.col(c) for c in items.columns] + [F.col("task_id")]
     texts = items.withColumn("_blob", filters.list_blob()).where(filters.tender_like(F.col("_blob")))
