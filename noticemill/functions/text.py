@@ -110,8 +110,9 @@ def normalize_title(c: Column) -> Column:
 
 
 def bid_code(text: Column) -> Column:
-    labelled = extract(text, C.CODE_LABELLED)
-    bare = extract(text, C.CODE_BARE)
+    """Labelled code, else a bare one; the word-boundary scan runs only where a code can stand."""
+    labelled = F.when(F.contains(text, F.lit("编号")), extract(text, C.CODE_LABELLED))
+    bare = F.when(F.rlike(text, F.lit(rx(r"[A-Z]\d{4}"))), extract(text, C.CODE_BARE))
     return F.upper(F.coalesce(labelled, bare))
 
 

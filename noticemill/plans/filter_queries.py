@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from noticemill.functions import text as X
 from noticemill.operators import delivery, filters, listing, matching
 from noticemill.plans import views as V
+from noticemill.session import cut_lineage
 
 ONE = filters.Criteria(keywords=("BUILDING", "MACHINERY"), regions=("NATION_7", "NATION_12", "NATION_18"),
                        start_date=date(1996, 1, 1), end_date=date(1998, 12, 31))
@@ -54,8 +55,8 @@ def subscription_match(spark, sf):
 
 
 def _plan(spark, sf):
-    current = matching.match_subscriptions(V.notices(spark, sf), V.subscriptions(spark, sf)).select(
-        "task_id", "notice_id", "content_hash")
+    current = cut_lineage(matching.match_subscriptions(V.notices(spark, sf), V.subscriptions(spark, sf)).select(
+        "task_id", "notice_id", "content_hash"))  # the stored history is derived from it
     return current, _history(current)
 
 
