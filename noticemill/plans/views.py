@@ -43,9 +43,10 @@ FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n O
 SELECT t.task_id, t.keyword, t.region_key,
   CASE WHEN t.task_id % 9 = 0 THEN NULL ELSE make_date(cast(1995 + t.task_id % 6 AS int), 1, 1) END AS start_date,
   CASE WHEN t.task_id % 8 = 0 THEN NULL ELSE make_date(cast(1995 + t.task_id % 6 AS int), 12, 31) END AS end_date
-FROM (SELECT r.r_regionkey * 10 + dense_rank() OVER (PARTITION BY r.r_regionkey ORDER BY s.c_mktsegment) AS task_id,
-    s.c_mktsegment AS keyword, r.r_regionkey AS region_key
-  FROM {region} r CROSS JOIN (SELECT DISTINCT c_mktsegment FROM {customer}) s) t
+FROM (SELECT cast(s.region_key * 10 + dense_rank() OVER (PARTITION BY s.region_key ORDER BY s.keyword) AS bigint) AS task_id,
+    s.keyword, s.region_key
+  FROM (SELECT DISTINCT n.n_regionkey AS region_key, c.c_mktsegment AS keyword
+    FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey) s) t
 """,
     "doc_notices": """
 SELECT doc_id AS notice_id, doc_id AS seq, substr(split_part(text, chr(10), 1), 1, 60) AS title,
