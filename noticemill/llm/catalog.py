@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noticemill.llm import decontamination, packing, quality_rules, simhash, url_filters
+from noticemill.llm import decontamination, packing, quality_rules, secret_scan, simhash, url_filters
 
-_MODULES = (decontamination, packing, quality_rules, simhash, url_filters)
+_MODULES = (decontamination, packing, quality_rules, secret_scan, simhash, url_filters)
 
 
 def entries() -> dict:
