@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from noticemill.llm import decontamination, language_id, packing, quality_rules, secret_scan, simhash, url_filters
+from noticemill.llm import (decontamination, html_extraction, language_id, packing, quality_rules, secret_scan, simhash,
+                            url_filters)
 
-_MODULES = (decontamination, language_id, packing, quality_rules, secret_scan, simhash, url_filters)
+_MODULES = (decontamination, html_extraction, language_id, packing, quality_rules, secret_scan, simhash, url_filters)
 
 
 def entries() -> dict:
