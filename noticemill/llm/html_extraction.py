@@ -3,9 +3,9 @@
 A page becomes a list of blocks in page order, each with the path of block tags from the root to it. For every path the
 lengths of text, of linked text and the punctuation of all its blocks are added up; a path's two ratios (text per block
 and punctuation per text, both damped by the linked share) are smoothed over the page order with the neighbouring blocks
-and fused. A path whose fused score reaches ``threshold`` times the mean of the scored paths is content. Since a page's
-menus, forms, notices and the like say so in their tags, classes and roles, such subtrees take no part, and paths inside
-an article or main element are content whenever one of them is; the ratios decide on all other pages.
+and fused into one score; a path inside an article or main element leads by ``CONTAINER_LEAD``. A path whose score reaches
+``threshold`` times the mean over the page's paths is content. Menus, forms, notices and the like that say so in their tags,
+classes or roles take no part.
 
 Defined cases: a null or empty page gives an empty text; broken markup (unclosed or stray tags) is read as a browser would
 close paragraphs and list items; a page without any tag is one block of text; rows are read one by one whatever their ids;
@@ -45,8 +45,10 @@ ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "d
         "option": (("option",), ("select",))}
 #: White space of HTML; a no-break space stays.
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
-PUNCTUATION = frozenset(".,;:!?…。，；：！？、")
+PUNCTUATION = re.compile("[.,;:!?…。，；：！？、]")
 THRESHOLD = 0.35
+#: Lead of a path inside an article or main element, in best scores for each path of the page.
+CONTAINER_LEAD = 10
 
 
 def is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -180,20 +182,19 @@ class _Path:
     linked: int = 0
     marks: int = 0
     blocks: list[int] = field(default_factory=list)
+    content: bool = False
 
 
 def content_paths(blocks: list[Block], threshold: float = THRESHOLD) -> set[tuple[str, ...]]:
     """The paths whose blocks are content."""
-    inside = {b.path for b in blocks if b.content}
-    if inside:
-        return inside
     paths: dict[tuple[str, ...], _Path] = {}
     for i, b in enumerate(blocks):
         p = paths.setdefault(b.path, _Path())
         p.text += len(b.text)
         p.linked += min(b.linked, len(b.text))
-        p.marks += sum(map(b.text.count, PUNCTUATION))
+        p.marks += len(PUNCTUATION.findall(b.text))
         p.blocks.append(i)
+        p.content |= b.content
     raw = {}
     for path, p in paths.items():
         free = 1 - p.linked / p.text
@@ -204,8 +205,12 @@ def content_paths(blocks: list[Block], threshold: float = THRESHOLD) -> set[tupl
         near = per_block[max(0, i - 1):i + 2]
         smooth.append(tuple((per_block[i][k] + sum(x[k] for x in near) / len(near)) / 2 for k in (0, 1)))
     fused = {path: sum(smooth[i][0] * smooth[i][1] ** 0.5 for i in p.blocks) / len(p.blocks) for path, p in paths.items()}
-    mean = sum(fused.values()) / len(fused) if fused else 0.0
-    return {path for path, score in fused.items() if score >= threshold * mean and paths[path].linked < 0.5 * paths[path].text}
+    # An article or main element vouches for its paths: a lead that no path outside can make up.
+    lead = CONTAINER_LEAD * len(fused) * max(fused.values(), default=0.0)
+    fused = {path: score + lead * paths[path].content for path, score in fused.items()}
+    least = threshold * sum(fused.values()) / max(1, len(fused))
+    return {path for path, score in fused.items()
+            if score >= least and (paths[path].content or 2 * paths[path].linked < paths[path].text)}
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
