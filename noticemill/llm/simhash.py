@@ -1,8 +1,8 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
 A fingerprint is mapped to its number of set bits in each of 32 segments of two bits. The Manhattan distance of two such
-vectors never exceeds the Hamming distance, so it is a safe filter. The vectors lie on a grid: seven groups of segments;
-two vectors within Manhattan distance 4 agree in at least three groups, hence meet in a cell made of three of them.
+vectors never exceeds the Hamming distance, so it is a safe filter. The vectors lie on a grid: eight groups of segments;
+two vectors within Manhattan distance 4 agree in at least four groups, hence meet in a cell made of four of them.
 Within a cell the Manhattan bound is tested first, then the exact Hamming distance; each pair counts only in the first
 cell that it shares. Only distinct fingerprints are joined, so copies cost nothing. A cell of over ``hot_cell`` distinct
 fingerprints is never joined with itself: its members are linked through midpoints instead (two fingerprints within
@@ -27,7 +27,7 @@ from noticemill.operators.components import connected_components
 from noticemill.session import cut_lineage
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-GROUPS, SHARED = 7, 3
+GROUPS, SHARED = 8, 4
 #: Distinct fingerprints in a cell up to which its members are compared with each other.
 HOT_CELL = 4096
 #: Shingle hashes summed at a time.
@@ -90,26 +90,25 @@ def links(classes: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
     Outside hot cells every linked pair comes once, with a < b.
     """
     masks = _groups()
-    combos = list(combinations(range(GROUPS), SHARED))
+    combos = [_signed(sum(m & (2 ** 64 - 1) for m in c)) for c in combinations(masks, SHARED)]
     coded = classes.select("fp", _embedding(F.col("fp")).alias("code"))
-    keys = F.array(*[F.col("code").bitwiseAND(F.lit(_signed(sum(masks[g] & (2 ** 64 - 1) for g in c)))) for c in combos])
-    cells = coded.select("fp", "code", F.posexplode(keys).alias("combo", "cell"))
-    sizes = cells.groupBy("combo", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut_lineage(cells.join(sizes, ["combo", "cell"]))
-
-    left, right = shared.where(F.col("n") <= hot_cell), shared.where(F.col("n") <= hot_cell)
-    left = left.select("combo", "cell", F.col("fp").alias("a"), F.col("code").alias("ca"))
-    right = right.select("combo", "cell", F.col("fp").alias("b"), F.col("code").alias("cb"))
+    keys = F.array(*[F.xxhash64(F.lit(m), F.col("code").bitwiseAND(F.lit(m))) for m in combos])
+    cells = coded.select("fp", F.explode(keys).alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut_lineage(cells.join(sizes, "cell"))
+
+    small = shared.where(F.col("n") <= hot_cell).withColumn("code", _embedding(F.col("fp")))
+    left = small.select("cell", F.col("fp").alias("a"), F.col("code").alias("ca"))
+    right = small.select("cell", F.col("fp").alias("b"), F.col("code").alias("cb"))
     apart = F.col("ca").bitwiseXOR(F.col("cb"))
-    same = [F.when(apart.bitwiseAND(F.lit(m)) == 0, 1).otherwise(0) for m in masks]
-    upto, total = [], F.lit(0)
-    for s in same:
-        total = total + s
-        upto.append(total)
-    last = F.element_at(F.array(*[F.lit(c[-1]) for c in combos]), F.col("combo") + 1)
-    first_cell = F.element_at(F.array(*upto), last + 1) == SHARED
+    agreeing, first_shared = F.lit(0), F.lit(0).cast("bigint")
+    for m in masks:
+        same = apart.bitwiseAND(F.lit(m)) == 0
+        first_shared = first_shared.bitwiseOR(F.when(same & (agreeing < SHARED), F.lit(m)).otherwise(F.lit(0)))
+        agreeing = agreeing + F.when(same, 1).otherwise(0)
+    first_cell = F.xxhash64(first_shared, F.col("ca").bitwiseAND(first_shared)) == F.col("cell")
     close = (F.bit_count(apart) <= MAX_BITS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    near = left.join(right, ["combo", "cell"]).where((F.col("a") < F.col("b")) & close & first_cell).select("a", "b")
+    near = left.join(right, "cell").where((F.col("a") < F.col("b")) & close & first_cell).select("a", "b")
 
     hot = shared.where(F.col("n") > hot_cell).select("fp").distinct()
     flips = """concat(array(0L), flatten(transform(sequence(0, 63), i -> transform(sequence(i + 1, 64), j ->
