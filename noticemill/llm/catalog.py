@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from noticemill.llm import (decontamination, html_extraction, language_id, packing, quality_rules, secret_scan, simhash,
-                            url_filters)
+from noticemill.llm import (decontamination, html_extraction, language_id, line_dedup, packing, quality_rules, secret_scan,
+                            simhash, url_filters)
 
-_MODULES = (decontamination, html_extraction, language_id, packing, quality_rules, secret_scan, simhash, url_filters)
+_MODULES = (line_dedup, decontamination, packing, quality_rules, secret_scan, language_id, url_filters, simhash,
+            html_extraction)
 
 
 def entries() -> dict:
