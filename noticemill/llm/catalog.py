@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from noticemill.llm import (decontamination, html_extraction, language_id, line_dedup, packing, quality_rules, secret_scan,
-                            simhash, url_filters)
+from noticemill.llm import (decontamination, html_extraction, language_id, line_dedup, packing, preference_format,
+                            quality_rules, secret_scan, simhash, url_filters)
 
-_MODULES = (line_dedup, decontamination, packing, quality_rules, secret_scan, language_id, url_filters, simhash,
+_MODULES = (line_dedup, preference_format, decontamination, packing, quality_rules, secret_scan, language_id, url_filters, simhash,
             html_extraction)
 
 
