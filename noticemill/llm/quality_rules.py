@@ -24,7 +24,7 @@ RULES = {
     "few_words": "n_words < 20",
     "repeated_words": "100 * n_repeat_words > 30 * n_words",
     "symbols": "10 * n_symbols > word_chars",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "100 * n_dup_lines > 60 * n_lines",
     "word_length": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words)",
     "capitals": "10 * n_capitals > 6 * word_chars",
 }
