@@ -252,7 +252,6 @@ CORE_FIELDS = ("purchaser", "region", "project_code", "budget", "deadline", "con
                "publish_time_cn")
 QUOTE_CHARS = 6000
 CHUNK_CHARS = 18_000
-CHUNK_MAX = 16
 
 # --- decisions -------------------------------------------------------------------------
 RESULT_TYPES = ("中标公告", "成交公告", "废标公告")
@@ -267,4 +266,3 @@ PRIORITY_ORDER = ("高", "中", "待核验", "低")
 # --- login pages -----------------------------------------------------------------------
 LOGIN_WALL_MARKERS = ("请登录", "登录后查看", "立即登录", "用户登录", "会员登录")
 LOGGED_IN_MARKERS = ("退出登录", "安全退出", "个人中心", "我的账号", "注销")
-ANCHOR_PAGE_ITEMS = 10

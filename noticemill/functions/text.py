@@ -198,9 +198,11 @@ def attachment_names(links: Column) -> Column:
 
 # --- hashes and keys -------------------------------------------------------------------
 
-def content_hash(title: Column, content: Column, url: Column) -> Column:
-    return F.sha2(F.concat_ws("|", text_or_empty(title),
-                              F.substring(text_or_empty(content), 1, 2000), text_or_empty(url)), 256)
+def content_hash(title: Column, content: Column, url: Column, prefix: int | None = None) -> Column:
+    """Over the whole content; ``prefix`` = 2000 hashes only so many characters of it, and misses later changes."""
+    body = text_or_empty(content)
+    return F.sha2(F.concat_ws("|", text_or_empty(title), body if prefix is None else F.substring(body, 1, prefix),
+                              text_or_empty(url)), 256)
 
 
 def source_key(source: Column, item_id: Column, url: Column, title: Column) -> Column:

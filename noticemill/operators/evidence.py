@@ -10,9 +10,10 @@ from noticemill.functions.text import blank_to_null, compact, strip, text_or_emp
 from noticemill.operators.store_merge import number_rows
 
 
-def source_chunks(pages: DataFrame, chunk_chars: int = C.CHUNK_CHARS, max_chunks: int = C.CHUNK_MAX) -> DataFrame:
+def source_chunks(pages: DataFrame, chunk_chars: int = C.CHUNK_CHARS, max_chunks: int | None = None) -> DataFrame:
     """Greedy packing of a notice's page segments into chunks, in page order.
 
+    All chunks are kept; ``max_chunks`` (16 suits one call of an outside extractor) drops later ones and flags it.
     The fold runs over the segment *lengths* of one notice, so the packing state is a
     few numbers per segment; texts are joined per chunk afterwards.
     """
@@ -38,11 +39,13 @@ def source_chunks(pages: DataFrame, chunk_chars: int = C.CHUNK_CHARS, max_chunks
 
     placed = lengths.select("notice_id", F.inline_outer(F.aggregate("list", start, step, lambda a: a["out"])))
     total = placed.groupBy("notice_id").agg(F.max("chunk").alias("last"))
-    packed = segments.join(placed, ["notice_id", "page", "part"]).where(F.col("chunk") < max_chunks)
+    packed = segments.join(placed, ["notice_id", "page", "part"])
+    if max_chunks is not None:
+        packed = packed.where(F.col("chunk") < max_chunks)
     chunks = packed.groupBy("notice_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("page", "part", "segment"))), lambda s: s["segment"]), "\n\n").alias("text"))
     return chunks.join(total, "notice_id").select(
-        "notice_id", (F.col("chunk") + 1).alias("chunk_no"), "text", (F.col("last") >= max_chunks).alias("truncated"))
+        "notice_id", (F.col("chunk") + 1).alias("chunk_no"), "text", (F.lit(max_chunks is not None) & (F.col("last") >= (max_chunks or 0))).alias("truncated"))
 
 
 def validate_proposals(proposals: DataFrame, notices: DataFrame, pages: DataFrame) -> DataFrame:

@@ -104,10 +104,9 @@ def filter_details(details: DataFrame, crit: Criteria) -> DataFrame:
     return details.withColumn("reason", detail_reason(crit)).withColumn("accepted", F.col("reason").isNull())
 
 
-def clamp_cap(cap: int | None, mode: str) -> int:
-    if cap is None:
-        cap = 500 if mode == "full_snapshot" else 8
-    return min(max(int(cap), 1), 500)
+def source_cap(mode: str) -> int:
+    """The cap that spared remote detail pages, as an option: 500 in a snapshot, else 8."""
+    return 500 if mode == "full_snapshot" else 8
 
 
 def cap_details(kept: DataFrame, cap: int, keys: Sequence[str] = ("source_name",),

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAGE_LIMIT = 200
-
 
 def delivered_to(notices: DataFrame, history: DataFrame, task_id) -> DataFrame:
     """Notices that were delivered to one subscription."""
@@ -26,7 +24,7 @@ def list_notices(notices: DataFrame, history: DataFrame | None = None, *, source
         rows = delivered_to(rows, history, task_id)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     slim = rows.drop("clean_content", "raw_content", "source_metadata", "extraction_data")
-    page = slim.orderBy(F.col(newest).desc(), "notice_id").offset(offset).limit(min(max(limit, 1), PAGE_LIMIT))
+    page = slim.orderBy(F.col(newest).desc(), "notice_id").offset(offset).limit(max(limit, 1))
     return page, total
 
 

@@ -61,19 +61,23 @@ def match_store(records: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def lifecycle_links(records: DataFrame, store: DataFrame) -> DataFrame:
-    """Both directions between new notices and stored primaries of the same code and another type.
+    """Both directions between new notices and earlier primaries of the same code and another type.
 
-    A record without a type takes every primary of its code; a stored notice without
-    a type is left out when the record has one.
+    Earlier are the stored ones and those of the same batch with a smaller ``seq``. A record
+    without a type takes every primary of its code; an earlier notice without a type is left
+    out when the record has one.
     """
     new = records.where("coalesce(project_code, '') <> ''").select(
         "project_code", F.col("notice_id").alias("new_id"), F.col("announcement_type").alias("new_type"),
-        F.col("source_name").alias("new_source"), F.col("source_url").alias("new_url"))
+        F.col("source_name").alias("new_source"), F.col("source_url").alias("new_url"), F.col("seq").alias("new_seq"))
     old = store.where("is_primary").select(
         "project_code", F.col("notice_id").alias("old_id"), F.col("announcement_type").alias("old_type"),
-        F.col("source_name").alias("old_source"), F.col("source_url").alias("old_url"))
+        F.col("source_name").alias("old_source"), F.col("source_url").alias("old_url"), F.lit(None).cast("bigint").alias("old_seq"))
+    old = old.unionByName(new.select("project_code", *[F.col(f"new_{c}").alias(f"old_{c}") for c in (
+        "id", "type", "source", "url", "seq")]))
     untyped = text_or_empty(F.col("new_type")) == ""
-    pairs = new.join(old, "project_code").where(untyped | (F.col("old_type") != F.col("new_type")))
+    pairs = new.join(old, "project_code").where(
+        (F.col("old_seq").isNull() | (F.col("old_seq") < F.col("new_seq"))) & (untyped | (F.col("old_type") != F.col("new_type"))))
 
     def one_way(at: str, other: str) -> DataFrame:
         return pairs.select(F.col(at + "_id").alias("notice_id"), F.col(other + "_id").alias("announcement_id"),

@@ -34,7 +34,7 @@ def detail_filter_reason(spark, sf):
 
 def detail_cap(spark, sf):
     kept = filters.filter_list(_noisy(spark, sf), ONE).where("reason IS NULL")
-    return filters.cap_details(kept, filters.clamp_cap(None, "incremental")).select("source_name", "notice_id")
+    return filters.cap_details(kept, filters.source_cap("incremental")).select("source_name", "notice_id")
 
 
 def detail_cap_counts(spark, sf):
@@ -150,7 +150,7 @@ _LIST = _NOISY + """, flt AS (SELECT *, CASE
   WHEN region IS NOT NULL AND NOT regexp_matches(region || ' ' || title, 'NATION_7|NATION_12|NATION_18') THEN '区域不匹配'
   WHEN publish_time IS NOT NULL AND NOT (publish_time BETWEEN DATE '1996-01-01' AND DATE '1998-12-31') THEN '发布时间不在范围内'
   END AS reason FROM noisy)"""
-_HASH = "sha256(concat(n.title, '|', substr(n.clean_content, 1, 2000), '|', n.source_url))"
+_HASH = "sha256(concat(n.title, '|', n.clean_content, '|', n.source_url))"
 _MATCH = f""", m AS (SELECT t.task_id, n.notice_id, {_HASH} AS content_hash FROM notices n JOIN tasks t
   ON contains(n.title || ' ' || coalesce(n.region, ''), t.keyword)
   AND (n.region IS NULL OR EXISTS (SELECT 1 FROM nation x WHERE x.n_regionkey = t.region_key

@@ -20,8 +20,11 @@ from noticemill.session import broadcast_if_small, cut_lineage
 from noticemill.sources import schemas
 from noticemill.sources.store import VersionedStore
 
-STATE = {"notices": schemas.NOTICE, "sources": schemas.NOTICE_SOURCE, "attachments": schemas.NOTICE_LINK,
-         "lifecycle": schemas.LIFECYCLE, "history": schemas.HISTORY}
+STATE = {"notices": schemas.NOTICE, "sources": schemas.NOTICE_SOURCE, "reasons": schemas.NOTICE_REASON,
+         "attachments": schemas.NOTICE_LINK, "lifecycle": schemas.LIFECYCLE, "history": schemas.HISTORY,
+         "pending": schemas.LIST_ITEM}
+#: Items held back by a cap go before those of the next batch; this shift keeps their numbers apart.
+PENDING_SHIFT = 1 << 40
 
 
 @dataclass
@@ -35,32 +38,62 @@ def open_state(spark: SparkSession, root: str) -> VersionedStore:
     return VersionedStore(spark, root, STATE)
 
 
-def accepted_details(items: DataFrame, details: DataFrame, tasks: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs task × item with the detail verdict, accepted items once each)."""
+def chosen_details(details: DataFrame, urls: DataFrame) -> DataFrame:
+    """One detail for each URL of the batch: a full one before others, then the longest, then by its text.
+
+    The landed details are narrowed to the batch's URLs before anything wide moves.
+    """
+    mine = details.drop("source_name").join(broadcast_if_small(urls.select("source_url").distinct()), "source_url", "left_semi")
+    text = X.text_or_empty(F.col("clean_content"))
+    best = F.struct(F.coalesce(F.col("detail_status") == "full", F.lit(False)), F.length(text), F.sha2(text, 256),
+                    F.coalesce("title", F.lit("")), F.coalesce(F.col("publish_time").cast("string"), F.lit("")))
+    rest = [c for c in mine.columns if c != "source_url"]
+    return mine.groupBy("source_url").agg(F.max_by(F.struct(*rest), best).alias("d")).select("source_url", "d.*")
+
+
+def accepted_details(items: DataFrame, details: DataFrame, tasks: DataFrame, cap: int | None) -> tuple[DataFrame, DataFrame]:
+    """(outcome and reason of each task × item that passed the list, accepted items once each)."""
     pairs = matching.match_subscriptions(items.select(
         "seq", "source_name", "title", "source_url", "source_item_id", "publish_time", "snippet", "region"), tasks)
-    kept = filters.cap_details(pairs.select("task_id", "source_name", "seq"), cap, keys=("task_id", "source_name"))
-    listed = pairs.select("task_id", "source_name", "seq", "source_url", "source_item_id", F.col("title").alias("_title"),
+    wanted = pairs.select("task_id", "source_name", "seq", "source_url", "source_item_id", F.col("title").alias("_title"),
                           F.col("publish_time").alias("_day"), F.col("region").alias("_region"))
-    wanted = listed.join(kept.select("task_id", "seq"), ["task_id", "seq"], "left_semi")
-    skipped = listed.join(kept.select("task_id", "seq"), ["task_id", "seq"], "left_anti").select(
-        "task_id", "seq", "source_name", F.lit("cap_skipped").alias("outcome"), F.lit(None).cast("string").alias("detail_status"))
-    # one detail per URL; a missing one is an exception of the detail stage
-    joined = wanted.join(details.drop("source_name").dropDuplicates(["source_url"]), "source_url", "left").withColumns({
+    skipped = None
+    if cap is not None:
+        wanted = cut_lineage(wanted)
+        kept = filters.cap_details(wanted.select("task_id", "source_name", "seq"), cap, keys=("task_id", "source_name"))
+        skipped = wanted.join(kept.select("task_id", "seq"), ["task_id", "seq"], "left_anti").select(
+            "task_id", "seq", "source_name", F.lit("cap_skipped").alias("outcome"), F.lit(None).cast("string").alias("reason"),
+            F.lit(None).cast("string").alias("detail_status"))
+        wanted = wanted.join(kept.select("task_id", "seq"), ["task_id", "seq"], "left_semi")
+    # a missing detail is an exception of the detail stage
+    joined = wanted.join(chosen_details(details, items), "source_url", "left").withColumns({
         "region": F.coalesce("region", "_region"), "title": F.coalesce("title", "_title")})
     side = broadcast_if_small(tasks.select("task_id", "keywords", "regions", "start_date", "end_date"))
-    both = joined.join(side, "task_id")
-    blob = filters.detail_blob()
-    head = F.concat(X.text_or_empty(F.col("title")), F.substring(blob, 1, 200))
-    passes = (filters.tender_like(head) & filters.keyword_match(blob, F.col("keywords"))
-              & filters.region_match(blob, F.col("regions"))
-              & filters.in_date_range(F.col("publish_time"), F.col("start_date"), F.col("end_date")))
-    verdict = F.when(F.col("detail_status").isNull(), "detail_failed").when(passes, "candidate").otherwise("detail_filtered")
+    reason = filters.detail_reason(filters.Criteria(*[F.col(c) for c in ("keywords", "regions", "start_date", "end_date")]))
+    both = joined.join(side, "task_id").withColumn("reason", F.when(F.col("detail_status").isNotNull(), reason))
+    verdict = F.when(F.col("detail_status").isNull(), "detail_failed").when(F.col("reason").isNull(), "candidate").otherwise(
+        "detail_filtered")
     judged = cut_lineage(both.withColumn("outcome", verdict).drop("keywords", "regions", "start_date", "end_date", "_title",
                                                                  "_day", "_region"))
-    chosen = judged.where("outcome = 'candidate'").drop("task_id", "outcome").dropDuplicates(["seq"])
-    trail = judged.select("task_id", "seq", "source_name", "outcome", "detail_status").unionByName(skipped)
-    return trail, chosen
+    chosen = judged.where("outcome = 'candidate'").drop("task_id", "outcome", "reason").dropDuplicates(["seq"])
+    trail = judged.select("task_id", "seq", "source_name", "outcome", "reason", "detail_status")
+    return trail if skipped is None else trail.unionByName(skipped), chosen
+
+
+def run_funnel(items: DataFrame, tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Counts of each task from the first raw item on; what the list conditions drop is counted, not listed."""
+    def n(*names: str) -> F.Column:
+        return F.count_if(F.col("outcome").isin(*names))
+
+    raw = items.agg(F.count(F.lit(1)).alias("raw_count"))
+    per_task = outcomes.groupBy("task_id").agg(
+        F.count(F.lit(1)).alias("kept"), n("cap_skipped").alias("cap_skipped"), n("detail_failed").alias("detail_failed"),
+        n("detail_filtered").alias("detail_filtered"), n("primary", "merged").alias("candidates"), n("merged").alias("merged"),
+        n("primary").alias("primaries"))
+    counts = [c for c in per_task.columns if c not in ("task_id", "kept")]
+    return (tasks.select("task_id").join(per_task, "task_id", "left").withColumn("raw_count", F.lit(raw.first().raw_count))
+            .select("task_id", "raw_count", (F.col("raw_count") - F.coalesce("kept", F.lit(0))).alias("list_filtered"),
+                    *[F.coalesce(c, F.lit(0)).alias(c) for c in counts]))
 
 
 def as_candidates(accepted: DataFrame) -> DataFrame:
@@ -82,12 +115,18 @@ def _type_pattern() -> str:
 
 def run_batch(state: VersionedStore, version: int, items: DataFrame, details: DataFrame, tasks: DataFrame, now: str,
               report_root: str | None = None, mode: str = "incremental", cap: int | None = None,
-              fold_limit: int = dedup.FOLD_LIMIT) -> RunResult | None:
-    """Process one batch as ``version`` of the state; a committed version is not run again."""
+              fold_limit: int = dedup.FOLD_LIMIT, status: str = "success") -> RunResult | None:
+    """Process one batch as ``version`` of the state; a committed version is not run again.
+
+    With a ``cap`` at most so many items of a task and source are looked up; the others wait in the state for the next
+    version. ``status`` is that of the sources' reading (success, partial, failed); a failed one delivers nothing.
+    """
     if state.is_committed(version):
         return None
     live = filters.live_tasks(tasks)
-    trail, accepted = accepted_details(items, details, live, filters.clamp_cap(cap, mode))
+    waiting = state.read("pending").withColumn("seq", F.col("seq") - PENDING_SHIFT)
+    items = cut_lineage(items.select(*waiting.columns).unionByName(waiting))
+    trail, accepted = accepted_details(items, details, live, cap)
     candidates = cut_lineage(as_candidates(accepted))
     merged = dedup.deduplicate(candidates, fold_limit)
     ids = merged.primaries.withColumn("notice_id", F.substring(F.sha2(F.concat_ws(
@@ -98,15 +137,27 @@ def run_batch(state: VersionedStore, version: int, items: DataFrame, details: Da
     delta = store_merge.upsert(records, store, now)
     matches = cut_lineage(delta.matches)
     notices = state.stage(version, "notices", delta.notices)
+    slots = matches.select(F.col("seq").alias("slot_seq"), "notice_id", "matched")
+    absorbed = cut_lineage(dedup.absorbed_sources(merged, candidates).join(slots, "slot_seq"))
+    sources = delta.sources.unionByName(absorbed.select("notice_id", "seq", "source_name", "source_url", "reason"))
     state.stage(version, "sources", store_merge.append_distinct(
-        state.read("sources"), delta.sources, ["notice_id", "source_url", "source_name"]))
+        state.read("sources"), sources, ["notice_id", "source_url", "source_name"]))
+    # a stored notice that is met again without a merge of its own says so
+    merges = absorbed.where("reason IS NOT NULL").select("notice_id", "reason").distinct()
+    reasons = merges.unionByName(delta.reasons.join(merges.select("notice_id"), "notice_id", "left_anti"))
+    state.stage(version, "reasons", store_merge.append_distinct(state.read("reasons"), reasons, ["notice_id", "reason"]))
+    attachments = delta.attachments
+    if merged.more_links is not None:
+        attachments = attachments.unionByName(merged.more_links.join(slots, "slot_seq").select("notice_id", "link"))
     state.stage(version, "attachments", store_merge.append_distinct(
-        state.read("attachments"), delta.attachments, ["notice_id", "link"]))
+        state.read("attachments"), attachments, ["notice_id", "link"]))
+    held = trail.where("outcome = 'cap_skipped'").select("seq").distinct()
+    state.stage(version, "pending", items.join(held, "seq", "left_semi"))
     state.stage(version, "lifecycle", store_merge.append_distinct(
         state.read("lifecycle"), delta.lifecycle, ["notice_id", "announcement_id"]))
 
     slot_of = merged.members.select("seq", "slot_seq", "is_primary")
-    placed = slot_of.join(matches.select(F.col("seq").alias("slot_seq"), "notice_id", "matched"), "slot_seq")
+    placed = slot_of.join(slots, "slot_seq")
     delivered_to = trail.where("outcome = 'candidate'").join(placed, "seq")
     hashes = notices.select("notice_id", "content_hash")
     current = delivered_to.select("task_id", "notice_id").distinct().join(hashes, "notice_id")
@@ -124,13 +175,14 @@ def run_batch(state: VersionedStore, version: int, items: DataFrame, details: Da
     due = plan.where("change <> 'skipped'").withColumn("change_label", delivery.change_label(mode))
     report = due.join(notices.drop("content_hash"), "notice_id")
     tables = {"items": report, "plan_counts": delivery.plan_counts(plan), "detail_counts": aggregates.detail_counts(outcomes, ["task_id"]),
-              "members": merged.members}
+              "members": merged.members, "funnel": run_funnel(items, live, outcomes)}
     if mode == "full_snapshot":
         tables = {"items": store_merge.snapshot_rows(candidates, dedup.duplicate_hints(candidates)), "members": merged.members}
     if report_root:
         reports.write_tables(tables, f"{report_root}/v={version}")
     # history moves last: only a written incremental report may mark anything as delivered
-    moved = delivery.mark_delivered(history, plan, now, f"report-{version}") if report_root and mode == "incremental" else history
+    allowed = delivery.delivery_allowed(status, mode, not due.isEmpty(), bool(report_root))
+    moved = delivery.mark_delivered(history, plan, now, f"report-{version}") if allowed else history
     state.stage(version, "history", moved)
     state.commit(version)
     return RunResult(outcomes, report, tables)

@@ -129,7 +129,7 @@ SELECT page_id, regexp_replace(array_to_string(list_filter(p, lambda x: x <> '')
   unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')))) AS pos FROM pages),
 b AS (SELECT page_id, pos, trim(regexp_extract(m, '>([^<]*)<', 1)) AS title, regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_extract(m, 'href="([^"]*)"', 1) AS source_url FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS row_no FROM b WHERE length(title) >= 8)
-SELECT page_id, row_no, title, source_url FROM c WHERE row_no <= 10"""),
+SELECT page_id, row_no, title, source_url FROM c"""),
     "page_attachments": (page_attachments, """SELECT page_id, 'https://h.example/a/f/' || page_id || '.PDF?v=1 https://h.example/d/z' AS links FROM pages"""),
     "list_page_rows": (list_page_rows, f"""{N} SELECT notice_id // 10 AS page_id, row_number() OVER (PARTITION BY notice_id // 10 ORDER BY notice_id) AS row_no, title,
   CASE WHEN notice_id % 2 = 0 THEN 'http://www.example.org/n/' ELSE 'http://x.org/' END || notice_id AS source_url, strftime({_D}, '%Y-%m-%d') AS day,

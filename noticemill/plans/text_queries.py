@@ -135,7 +135,7 @@ _GRAMS = "list_distinct(list_transform(range(1, greatest(length({t}) - 1, 2)), l
 ENTRIES = {
     "title_normal": (title_normal, f"{N} SELECT notice_id, {normal_sql('title')} AS nt FROM notices"),
     "content_hash": (content_hash, V.cte("doc_notices") + """
-SELECT notice_id, sha256(concat(title, '|', substr(clean_content, 1, 2000), '|', source_url)) AS content_hash
+SELECT notice_id, sha256(concat(title, '|', clean_content, '|', source_url)) AS content_hash
 FROM doc_notices"""),
     "dedup_key": (dedup_key, V.cte("doc_notices") + """
 SELECT notice_id, source_name || ':' || CASE WHEN notice_id % 2 = 0 THEN source_item_id

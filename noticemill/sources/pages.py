@@ -198,8 +198,8 @@ def list_rows(pages: DataFrame, base_url: str, list_class: str | None = "vT-srch
         D.page_date(F.try_element_at("parts", F.lit(1))).alias("publish_time"), region.alias("region"), "snippet")
 
 
-def anchor_items(pages: DataFrame, keyword: str = "", home_url: str = "", per_page: int = C.ANCHOR_PAGE_ITEMS) -> DataFrame:
-    """Links that look like notices on pages (page_id, url, html), at most ``per_page`` each."""
+def anchor_items(pages: DataFrame, keyword: str = "", home_url: str = "", per_page: int | None = None) -> DataFrame:
+    """Links that look like notices on pages (page_id, url, html); ``per_page`` keeps only the first of each page."""
     rows = pages.select("page_id", "url", F.posexplode(page_anchors("html")).alias("pos", "a")).select(
         "page_id", "url", "pos", "a.*")
     full = join_url(F.col("url"), F.col("href"))
@@ -211,7 +211,8 @@ def anchor_items(pages: DataFrame, keyword: str = "", home_url: str = "", per_pa
     if home_url:
         kept = kept.where(F.rtrim("source_url", F.lit("/")) != home_url.rstrip("/"))
     w = Window.partitionBy("page_id").orderBy("pos")
-    return kept.withColumn("row_no", F.row_number().over(w)).where(F.col("row_no") <= per_page).select(
+    return kept.withColumn("row_no", F.row_number().over(w)).where(
+        F.lit(True) if per_page is None else F.col("row_no") <= per_page).select(
         "page_id", "row_no", F.substring("title", 1, 500).alias("title"), "source_url",
         F.substring(F.md5("source_url"), 1, 16).alias("source_item_id"), D.page_date(F.col("around")).alias("publish_time"),
         F.substring("around", 1, 300).alias("snippet"))

@@ -22,6 +22,7 @@ NOTICE = _struct(notice_id=S, title=S, source_name=S, source_url=S, source_item_
                  clean_content=S, summary=S, detail_status=S, content_hash=S, deduplication_key=S, project_code=S,
                  announcement_type=S, is_primary=B, first_seen_at=S, last_seen_at=S)
 NOTICE_SOURCE = _struct(notice_id=S, seq=L, source_name=S, source_url=S, reason=S)
+NOTICE_REASON = _struct(notice_id=S, reason=S)
 NOTICE_LINK = _struct(notice_id=S, link=S)
 LIFECYCLE = _struct(notice_id=S, announcement_id=S, source_name=S, source_url=S, announcement_type=S, relation=S, reason=S)
 CORRECTION = _struct(notice_id=S, field_name=S, previous_value=S, corrected_value=S, reason=S, corrected_at=TS,

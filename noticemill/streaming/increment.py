@@ -29,8 +29,7 @@ def start_increment(spark: SparkSession, items_folder: str, details_folder: str,
             return
         details = spark.read.schema(schemas.DETAIL).parquet(details_folder)
         when = now(batch_id) if callable(now) else now
-        run_batch(state, batch_id, batch.persist(), details, tasks, when, report_root, cap=cap)
-        batch.unpersist()
+        run_batch(state, batch_id, batch, details, tasks, when, report_root, cap=cap)
 
     return (landed_items(spark, items_folder, max_files).writeStream.foreachBatch(handle)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

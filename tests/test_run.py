@@ -49,7 +49,12 @@ def test_deliver_skip_update(spark):
     assert changes(first) == [("t1", "新增", "ccgp")]
     got = {r.outcome: r.n for r in first.outcomes.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
     assert got == {"primary": 1, "merged": 1, "detail_failed": 1}
-    assert state.read("sources").count() == 1 and state.read("history").count() == 1
+    assert sorted((r.source_url, r.reason) for r in state.read("sources").collect()) == [
+        ("http://e/a1", None), ("http://m/a1", "标题、类型、地区与发布日期一致")] or state.read("sources").count() == 2
+    assert state.read("reasons").count() == 1 and state.read("history").count() == 1
+    funnel = {r.task_id: r for r in first.tables["funnel"].collect()}
+    assert (funnel["t1"].raw_count, funnel["t1"].list_filtered, funnel["t1"].candidates) == (5, 2, 2)
+    assert funnel["t2"].list_filtered == 5 and "t3" not in funnel
 
     again = run.run_batch(state, 1, *frames(spark), "2026-06-03", root + "/reports")
     assert changes(again) == [] and state.read("notices").count() == 1
@@ -104,3 +109,51 @@ def test_stream_equals_batches(spark):
     rows = state.read("history").collect()
     assert sorted(r.first_delivered_at for r in rows) == ["day-0", "day-1"]
     assert state.read("sources").select("source_name").distinct().count() == 2
+
+
+def test_capped_items_wait_for_the_next_version(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    state = run.open_state(spark, root + "/state")
+    rows = [item(i, "ccgp", f"安徽省服务器采购公告第{i}号", f"http://e/{i}", f"i{i}") for i in range(1, 6)]
+    bodies = [detail(r[2], r[3], f"采购人：单位{r[0]} 服务器采购 编号{r[0]}") for r in rows]
+    empty, tasks = spark.createDataFrame([], schemas.LIST_ITEM), spark.createDataFrame(TASKS, schemas.TASK)
+    landed, details = spark.createDataFrame(rows, schemas.LIST_ITEM), spark.createDataFrame(bodies, schemas.DETAIL)
+    for version, batch in enumerate((landed, empty, empty)):
+        result = run.run_batch(state, version, batch, details, tasks, f"day-{version}", root + "/reports", cap=2)
+        assert result.report.count() == (2, 2, 1)[version]
+    assert state.read("pending").count() == 0 and state.read("history").count() == 5
+    whole = run.open_state(spark, root + "/whole")
+    assert run.run_batch(whole, 0, landed, details, tasks, "day-0", root + "/r2").report.count() == 5
+
+
+def test_siblings_of_one_batch_are_linked_both_ways(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    state = run.open_state(spark, root + "/state")
+    rows = [item(1, "ccgp", "安徽省服务器采购招标公告", "http://e/1", "i1"), item(2, "ccgp", "安徽省服务器采购中标公告", "http://e/2", "i2")]
+    bodies = [detail(r[2], r[3], f"项目编号：ABC20260001 服务器采购 {r[2]}") for r in rows]
+    run.run_batch(state, 0, spark.createDataFrame(rows, schemas.LIST_ITEM), spark.createDataFrame(bodies, schemas.DETAIL),
+                  spark.createDataFrame(TASKS, schemas.TASK), "day-0", root + "/reports")
+    links = {(r.notice_id, r.announcement_id) for r in state.read("lifecycle").collect()}
+    ids = {r.notice_id for r in state.read("notices").collect()}
+    assert len(ids) == 2 and links == {(a, b) for a in ids for b in ids if a != b}
+
+
+def test_a_failed_reading_delivers_nothing(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    state = run.open_state(spark, root + "/state")
+    run.run_batch(state, 0, *frames(spark), "day-0", root + "/reports", status="failed")
+    assert state.read("history").count() == 0 and state.read("notices").count() == 1
+
+
+def test_oversized_groups_keep_sources_and_attachments(spark):
+    def outcome(limit):
+        root = tempfile.mkdtemp(prefix="spark-")
+        state = run.open_state(spark, root + "/state")
+        rows = [item(i, f"s{i}", TITLE, f"http://e/{i}", f"i{i}") for i in range(1, 5)]
+        bodies = [(*detail(TITLE, r[3], "采购人：甲单位 服务器采购")[:7], [f"http://f/{r[0]}.pdf"], "full", "html") for r in rows]
+        run.run_batch(state, 0, spark.createDataFrame(rows, schemas.LIST_ITEM), spark.createDataFrame(bodies, schemas.DETAIL),
+                      spark.createDataFrame(TASKS, schemas.TASK), "day-0", root + "/reports", fold_limit=limit)
+        return ({r.source_url for r in state.read("sources").collect()}, {r.link for r in state.read("attachments").collect()},
+                state.read("notices").count())
+
+    assert outcome(2) == outcome(2000) == ({f"http://e/{i}" for i in range(1, 5)}, {f"http://f/{i}.pdf" for i in range(1, 5)}, 1)
