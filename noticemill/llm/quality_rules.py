@@ -113,8 +113,9 @@ def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
     Judged row by row beside the data, without a join, so rows with equal or null ids can't be mixed up.
     """
     carried = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    judged = ledger(carried.select(F.col("__row").alias("doc_id"), F.col("text")))
-    return apply_policy(judged, policy).where("kept").select("doc_id.*")
+    judged = apply_policy(ledger(carried.select(F.col("__row").alias("doc_id"), F.col("text"))), policy)
+    # A filter is not pushed below an outer generator; pushed into the stages it would evaluate them once per mention.
+    return judged.select("doc_id", F.explode_outer(F.array("kept")).alias("kept")).where("kept").select("doc_id.*")
 
 
 # --- query ---------------------------------------------------------------------------------------------------------
