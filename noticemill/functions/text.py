@@ -152,9 +152,10 @@ def short_title(title: Column, limit: int = 28) -> Column:
 def char_ngrams(c: Column, n: int) -> Column:
     """Distinct n-grams; a shorter text is its own single gram."""
     t = strip(text_or_empty(c))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))),
-                        lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    # one pass over the text; a substring for each place would start from the beginning each time
+    grams = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return (F.when(t == "", F.array().cast("array<string>")).when(F.length(t) < n, F.array(t))
+            .otherwise(F.array_distinct(grams)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,10 +1,11 @@
 """Subscriptions joined to notices without a cross join.
 
-A keyword can only occur in a text that holds the keyword's first two characters,
-so each list text is exploded into its distinct bigrams and equi-joined with the
-keywords' anchors; the substring test then runs on the few rows that meet. The
-subscription side is broadcast only while its checked size allows it; beyond that
-the same equi-join shuffles on the anchor and AQE splits hot anchors.
+A keyword can only occur in a text that holds each of its bigrams. One of them, not
+part of the words that every listed text contains (such as 采购) where the keyword has
+such a one, is its anchor. A text's bigrams are narrowed to the anchors in use before the
+row is widened, meet the *distinct* keywords by equi-join, and only keywords that do
+occur meet the subscriptions. Each side is broadcast only while its checked size
+allows it; beyond that the same equi-joins shuffle and AQE splits hot keys.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticemill import constants as C
 from noticemill.functions.text import short_region, text_or_empty
 from noticemill.operators import filters
 from noticemill.session import broadcast_if_small
@@ -19,6 +21,16 @@ from noticemill.session import broadcast_if_small
 _TASK_COLUMNS = ("task_id", "keywords", "regions", "start_date", "end_date")
 
 
+#: Anchors up to which a text's bigrams are narrowed by a list inside the plan.
+ANCHOR_LIST = 5_000
+_COMMON = sorted({w[i:i + 2] for w in C.TENDER_TERMS for i in range(len(w) - 1)})
+
+
+def _rare_anchor(term):
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(term) - 1, F.lit(1))), lambda i: F.substring(term, i, F.lit(2)))
+    return F.coalesce(F.try_element_at(F.filter(grams, lambda g: ~g.isin(_COMMON)), F.lit(1)), F.substring(term, 1, 2))
+
+
 def _anchors(texts: str, with_single: bool):
     t = F.col(texts)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))),
@@ -60,13 +72,18 @@ def match_subscriptions(items: DataFrame, tasks: DataFrame) -> DataFrame:
     texts = items.withColumn("_blob", filters.list_blob()).where(filters.tender_like(F.col("_blob")))
 
     terms = (side.where(F.size("t_keywords") > 0)
-             .withColumn("term", F.explode(F.array_distinct("t_keywords"))).where("term <> ''")
-             .withColumn("anchor", F.substring("term", 1, 2)))
+             .withColumn("term", F.explode(F.array_distinct("t_keywords"))).where("term <> ''"))
+    words = terms.select("term").distinct().withColumn("anchor", _rare_anchor(F.col("term")))
     single = not terms.where(F.length("term") == 1).isEmpty()
+    grams = _anchors("_blob", single)
+    used = [r.anchor for r in words.select("anchor").distinct().limit(ANCHOR_LIST + 1).collect()]
+    if len(used) <= ANCHOR_LIST:
+        grams = F.array_intersect(grams, F.array(*[F.lit(a) for a in used]).cast("array<string>"))
     by_term = (
-        texts.withColumn("anchor", F.explode_outer(_anchors("_blob", single)))
-        .join(broadcast_if_small(terms), "anchor")
+        texts.withColumn("anchor", F.explode_outer(grams))
+        .join(broadcast_if_small(words), "anchor").drop("anchor")
         .where(F.contains("_blob", F.col("term")))
+        .join(broadcast_if_small(terms), "term")
         .where(F.element_at(F.filter("t_keywords", lambda k: (k != "") & F.contains(F.col("_blob"), k)), 1)
                == F.col("term"))
     )

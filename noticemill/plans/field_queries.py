@@ -219,7 +219,16 @@ FROM notices WHERE {_FULL}"""),
     "evidence_page": (evidence_page, _PAGES + r""", q AS (SELECT doc_id, regexp_replace(substr(text, cast(floor(length(text) / 3) AS bigint) + 1, 40), '\s+', '', 'g') AS q FROM documents)
 SELECT q.doc_id AS notice_id, min(page) AS found_page FROM q JOIN pages_cut p USING (doc_id)
 WHERE q <> '' AND contains(regexp_replace(t, '\s+', '', 'g'), q) GROUP BY 1"""),
-    "source_chunks": (source_chunks, None),
+    "source_chunks": (source_chunks, r"""WITH RECURSIVE pg AS (SELECT doc_id AS notice_id, p AS page,
+  regexp_replace(substr(text, (p - 1) * 500 + 1, 500), '^\s+|\s+$', '', 'g') AS t FROM (SELECT doc_id, text,
+  unnest(range(1, greatest(1, cast(ceil(length(text) / 500.0) AS bigint)) + 1)) AS p FROM documents)),
+s AS (SELECT notice_id, row_number() OVER (PARTITION BY notice_id ORDER BY page) AS i,
+  length('[第' || page || '页]' || chr(10) || t) AS n FROM pg WHERE t <> ''),
+r AS (SELECT notice_id, i, n AS used, 1 AS chunk FROM s WHERE i = 1 UNION ALL
+  SELECT s.notice_id, s.i, CASE WHEN used + s.n + 2 > 1500 THEN s.n ELSE used + 2 + s.n END,
+    CASE WHEN used + s.n + 2 > 1500 THEN chunk + 1 ELSE chunk END FROM r JOIN s ON s.notice_id = r.notice_id AND s.i = r.i + 1)
+SELECT notice_id, chunk AS chunk_no, cast(sum(n) + 2 * (count(*) - 1) AS integer) AS chars, false AS truncated
+FROM r JOIN s USING (notice_id, i) GROUP BY notice_id, chunk"""),
     "proposal_validation": (proposal_validation, "WITH " + _ERR + " SELECT notice_id, field_name, error FROM v"),
     "proposal_merge": (proposal_merge, "WITH " + _ERR + """, g AS (SELECT notice_id, field_name FROM v WHERE error IS NULL),
 b AS (SELECT doc_id AS notice_id, 'budget' AS field_name FROM documents WHERE doc_id % 2 = 0)

@@ -100,7 +100,7 @@ def detail_urls(spark, sf):
 
 def text_similarity(spark, sf):
     """Bigram and trigram Jaccard of each document with its text one source over."""
-    docs = V.view(spark, sf, "documents").select("doc_id", F.substring("text", 1, 300).alias("t"))
+    docs = V.view(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
     other = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("t").alias("o"))
     grams = docs.join(other, "doc_id").select("doc_id", X.char_ngrams(F.col("t"), 3).alias("a"),
                                               X.char_ngrams(F.col("o"), 3).alias("b"))
@@ -174,9 +174,9 @@ SELECT notice_id, CASE WHEN length(x) <= 28 THEN x ELSE substr(x, 1, 27) || '…
     "detail_url": (detail_urls, f"""{N} SELECT notice_id, CASE WHEN notice_id % 9 = 0 THEN '{C.DETAIL_URL_ROOT}'
   ELSE '{C.DETAIL_URL_BASE}?uuid=' || md5(source_item_id) || '&inpvalue=&dataSource=0&tenderAgency=' END AS detail_url
 FROM notices"""),
-    "text_similarity": (text_similarity, f"""WITH d AS (SELECT doc_id, regexp_replace(substr(text, 1, 300), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
-p AS (SELECT a.doc_id, {_GRAMS.replace('{t}', 'a.t')} AS x, {_GRAMS.replace('{t}', 'b.t')} AS y
-  FROM d a JOIN d b ON a.doc_id = b.doc_id + 1)
+    "text_similarity": (text_similarity, f"""WITH d AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+g AS MATERIALIZED (SELECT doc_id, {_GRAMS.replace('{t}', 't')} AS x FROM d),
+p AS (SELECT a.doc_id, a.x, b.x AS y FROM g a JOIN g b ON a.doc_id = b.doc_id + 1)
 SELECT doc_id, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS jaccard FROM p"""),
     "attachment_names": (attachment_sets, f"""{N} SELECT notice_id, 'a.pdf,' || cast(notice_id % 3 AS string) || '.doc' AS names,
   notice_id % 3 = 1 AS shared FROM notices"""),

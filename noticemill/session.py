@@ -11,6 +11,8 @@ TIME_ZONE = "Asia/Shanghai"
 
 #: Rows up to which a side is hinted for broadcast (checked with one bounded action).
 BROADCAST_ROW_LIMIT = 200_000
+#: Bytes of these rows, written as JSON, that it may have.
+BROADCAST_BYTE_LIMIT = 64 << 20
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
@@ -56,11 +58,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True if the frame has at most ``limit`` rows; reads at most ``limit + 1`` of them."""
-    return df.limit(limit + 1).count() <= limit
+def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT) -> bool:
+    """True if the frame has at most ``limit`` rows of ``max_bytes`` in all; reads at most ``limit + 1`` rows."""
+    size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    row = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return row.n <= limit and row.bytes <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after its size was checked; otherwise leave the join to AQE."""
-    return F.broadcast(df) if is_small(df, limit) else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Hint a broadcast only after its rows and bytes were checked; otherwise leave the join to AQE."""
+    return F.broadcast(df) if is_small(df, limit, max_bytes) else df

@@ -129,3 +129,32 @@ def test_corrections_and_chunks(spark):
     texts = spark.createDataFrame([(1, 1, "a" * 900), (1, 2, "b" * 500), (1, 3, "c" * 300)], "notice_id long, page int, text string")
     chunks = evidence.source_chunks(texts, chunk_chars=1100, max_chunks=1).collect()
     assert len(chunks) == 1 and chunks[0].truncated and chunks[0].text.startswith("[第1页]\naaa")
+
+
+def test_anchor_passes_over_words_of_every_notice(spark):
+    from noticemill.operators.matching import _rare_anchor
+
+    rows = spark.createDataFrame([("采购服务器",), ("采购",), ("车",)], "term string")
+    assert [r.a for r in rows.select(_rare_anchor(F.col("term")).alias("a")).collect()] == ["购服", "采购", "车"]
+
+
+def test_many_subscriptions_with_equal_keywords(spark):
+    from noticemill.operators.matching import match_subscriptions
+    from noticemill.sources import schemas
+
+    tasks = spark.range(3000).select(
+        F.concat(F.lit("t"), "id").alias("task_id"),
+        F.when(F.col("id") % 10 == 0, F.array(F.lit("采购服务器"))).otherwise(F.array(F.lit("采购桌椅"), F.lit("采购"))).alias("keywords"),
+        F.array().cast("array<string>").alias("regions"), F.lit(None).cast("date").alias("start_date"),
+        F.lit(None).cast("date").alias("end_date"))
+    items = spark.createDataFrame([(1, "s", "单位采购服务器公告", "u", "i", None, None, None), (2, "s", "单位服务器招标公告", "u", "j", None, None, None)],
+                                  schemas.LIST_ITEM)
+    got = match_subscriptions(items, tasks)
+    assert got.count() == 3000 and got.where("seq = 2").count() == 0
+
+
+def test_broadcast_checks_bytes(spark):
+    from noticemill.session import is_small
+
+    rows = spark.createDataFrame([("x" * 100,)], "v string")
+    assert is_small(rows) and not is_small(rows, max_bytes=50) and not is_small(rows.union(rows), limit=1)
