@@ -7,16 +7,15 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import WORDS
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from noticemill.llm import byte_bpe, line_dedup, packing, preference_format, simhash
+from llm_cases import SF, WORDS
 from oracle_check import compare, duck
 
-SF = "/root/testdata/sf0.001"
 
 
 def components(nodes, linked):

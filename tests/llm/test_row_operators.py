@@ -6,14 +6,13 @@ import random
 import re
 
 import pytest
-from conftest import SF  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from noticemill.llm import decontamination, html_extraction, language_id, quality_rules, secret_automaton, secret_scan, url_filters
+from llm_cases import SF
 from oracle_check import compare, duck
 
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("module", (quality_rules, decontamination, url_filters))
