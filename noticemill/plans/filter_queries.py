@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from noticemill.functions import text as X
 from noticemill.operators import delivery, filters, listing, matching
 from noticemill.plans import views as V
 from noticemill.session import cut_lineage
+from noticemill.sources import registry
 
 ONE = filters.Criteria(keywords=("BUILDING", "MACHINERY"), regions=("NATION_7", "NATION_12", "NATION_18"),
                        start_date=date(1996, 1, 1), end_date=date(1998, 12, 31))
@@ -44,10 +43,8 @@ def detail_cap_counts(spark, sf):
 
 def within_source_dedup(spark, sf):
     """First row per source and list key (the title) in list order."""
-    docs = V.view(spark, sf, "doc_notices")
-    w = Window.partitionBy("source_name", "key").orderBy("seq")
-    keyed = docs.select("source_name", "seq", X.list_key(F.lit(""), F.col("title")).alias("key"))
-    return keyed.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("source_name", "seq")
+    docs = V.view(spark, sf, "doc_notices").select("source_name", "seq", "title", F.lit("").alias("source_item_id"))
+    return registry.first_per_key(docs, "source_item_id").select("source_name", "seq")
 
 
 def subscription_match(spark, sf):
