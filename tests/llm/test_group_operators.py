@@ -83,6 +83,30 @@ def test_lines_equal_brute_force(spark):
                for i, t in docs)
 
 
+def test_lines_without_blanks_equal_plain_shingles(spark):
+    rng = random.Random(71)
+    made = ["https://example.com/" + "".join(rng.choice("abcdef0123456789") for _ in range(150)) for _ in range(25)]
+    made += ["公告公告公告公告公告公告" + "".join(rng.choice("招标采购中心项目名称编号地址日期😀") for _ in range(150)) for _ in range(25)]
+    made += ["id\tname\tvalue\t" + "\t".join(str(rng.randrange(10 ** 6)) for _ in range(30)) for _ in range(25)]
+    near = [x[:k] + "#" + x[k + 1:] for x in made for k in (3, 100)]
+    classes = sorted({*made, *near, "公告", "abcdefghijkl", "abcdefghijklm"})
+    docs = spark.createDataFrame(list(enumerate(classes)), "doc_id long, text string")
+    got = {r.line: set(r.s) for r in line_dedup.lines(docs).select("line", F.expr(line_dedup._hashes("s")).alias("s")).collect()}
+    plain = {x: {x[i:i + 12] for i in range(len(x) - 11)} or {x} for x in classes}
+    for x in classes:
+        assert len(got[x]) == len(plain[x])
+    mixed = spark.createDataFrame([(1, "see abcdefghijklmnop now ok")], "doc_id long, text string")
+    assert mixed.select(F.expr(f"regexp_extract_all(concat(' ', text), r'{line_dedup._SHINGLES}', 1)").alias("s")).first().s == [
+        "see abcdefgh", "abcdefghijkl", "bcdefghijklm", "cdefghijklmn", "defghijklmno", "efghijklmnop", "fghijklmnop ",
+        "ghijklmnop n", "hijklmnop no", "ijklmnop now", "jklmnop now ", "klmnop now o", "lmnop now ok", "now ok"]
+    alike = {(x, y) for i, x in enumerate(classes) for y in classes[i + 1:]
+             if len(plain[x] & plain[y]) >= 0.8 * len(plain[x] | plain[y])}
+    signed = line_dedup.lines(docs).select("doc_id", "n", "h1", "h2", line_dedup._bands().alias("bands"))
+    text_of = {r.h1: r.line for r in line_dedup.lines(docs).collect()}
+    linked = {tuple(sorted((text_of[r.a1], text_of[r.b1]))) for r in line_dedup.links(docs, signed).collect()}
+    assert linked <= alike and len(linked) >= 0.98 * len(alike) > 100
+
+
 def test_lines_of_tricky_rows(tricky, no_docs):
     kept = line_dedup.dedup_lines(tricky)
     assert kept.schema == tricky.schema and kept.count() == tricky.count()
