@@ -107,6 +107,34 @@ def test_lines_without_blanks_equal_plain_shingles(spark):
     assert linked <= alike and len(linked) >= 0.98 * len(alike) > 100
 
 
+def test_pairs_among_template_lines(spark):
+    rng = random.Random(72)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(11))
+
+    template = [word() for _ in range(36)]
+    made, planted = [], set()
+    for i in range(2000):
+        own = [word() for _ in range(5)]
+        line = " ".join(template + own)
+        made.append(line)
+        if i < 200:  # the copy differs in its first word
+            made.append(" ".join([word()] + template[1:] + own))
+            planted.add(tuple(sorted((line, made[-1]))))
+    sets = {x: line_shingles(x) for x in made}
+    assert all(len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) for x, y in planted)
+    assert max(len(sets[made[0]] & sets[y]) / len(sets[made[0]] | sets[y]) for y in made[2:]) < 0.8
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    signed = line_dedup.lines(docs).select("doc_id", "n", "h1", "h2", line_dedup._bands().alias("bands")).cache()
+    text_of = {r.h1: r.line for r in line_dedup.lines(docs).collect()}
+    linked = {tuple(sorted((text_of[r.a1], text_of[r.b1]))) for r in line_dedup.links(docs, signed).collect()}
+    assert linked == planted
+    first, crowded = line_dedup.candidates(signed)
+    met = {tuple(sorted((text_of[r.a], text_of[r.b]))) for r in first.collect()}
+    print("planted pairs that meet in a band:", len(met & planted), "crowded lines:", crowded.count())
+
+
 def test_lines_of_tricky_rows(tricky, no_docs):
     kept = line_dedup.dedup_lines(tricky)
     assert kept.schema == tricky.schema and kept.count() == tricky.count()
