@@ -2,12 +2,14 @@
 
 The vocabulary is the one of the given tokenizer file. A pre-token never reaches across a single blank except to take it
 as its first character, so the ids of a text are those of its blank-led words, one after the other; words that come again
-are looked up. Anything else (runs of white space, tabs, empty lines) is encoded as one whole text.
+are looked up. Anything else (runs of white space, tabs, empty lines) is encoded as one whole text. The file's added tokens
+(``<|endoftext|>``) are cut out of a text first and have their own ids, as in the tokenizers library.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,7 +38,10 @@ class Encoder:
         letters = _byte_letters()
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        special = {t["content"] for t in model.get("added_tokens", [])}
+        added = model.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on their surroundings are not supported")
+        special = {t["content"]: t["id"] for t in added}
         ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         self._plain = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                         special_tokens={}).encode_ordinary
@@ -44,6 +49,9 @@ class Encoder:
         self._later: dict[str, bytes] = {}
         self._newline = self._pack("\n")
         self._marks = {c: self._pack(c) for c in ".,;:!?"}
+        self._special = {t: i.to_bytes(4, "little") for t, i in special.items()}
+        longest = "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))
+        self._cut = re.compile(f"({longest})").split if special else None
 
     def _pack(self, text: str) -> bytes:
         import numpy as np
@@ -73,6 +81,11 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids as unsigned 32-bit little-endian integers."""
+        if any(t in text for t in self._special):
+            return b"".join(self._special[part] if i % 2 else self._ordinary(part) for i, part in enumerate(self._cut(text)))
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         parts: list[bytes] = []

@@ -269,6 +269,19 @@ def test_ids_of_odd_texts(text):
     assert ids_of(encode(text)) == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(byte_bpe.vocabulary_path())
+    encode = byte_bpe.encoder(byte_bpe.vocabulary_path())
+    rng = random.Random(73)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "<|", "a", " ", "  ", "\n", "word", "."]
+    texts = ["a <|endoftext|> b"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(2000)]
+    for text in texts:
+        assert ids_of(encode(text)) == plain.encode(text, add_special_tokens=False).ids, text
+    assert ids_of(encode(texts[0])) == [64, 220, 50256, 275]
+
+
 def test_fill_is_the_best_subset_sum():
     rng = random.Random(10)
     for _ in range(400):
