@@ -3,7 +3,7 @@
 A page becomes a list of blocks in page order, each with the path of block tags from the root to it. For every path the
 lengths of text, of linked text and the punctuation of all its blocks are added up; a path's two ratios (text per block
 and punctuation per text, both damped by the linked share) are smoothed over the page order with the neighbouring blocks
-and fused into one score; a path inside an article or main element leads by ``CONTAINER_LEAD``. A path whose score reaches
+and fused into one score, which counts ``CONTAINER_FACTOR`` times inside an article or main element. A path whose score reaches
 ``threshold`` times the mean over the page's paths is content. Menus, forms, notices and the like that say so in their tags,
 classes or roles take no part.
 
@@ -47,8 +47,8 @@ ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "d
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 PUNCTUATION = re.compile("[.,;:!?…。，；：！？、]")
 THRESHOLD = 0.35
-#: Lead of a path inside an article or main element, in best scores for each path of the page.
-CONTAINER_LEAD = 10
+#: What the score of a path inside an article or main element is multiplied by; the ratios can outweigh it.
+CONTAINER_FACTOR = 2
 
 
 def is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -56,7 +56,11 @@ def is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in SKIPPED:
         return True
     for name, value in attrs:
-        if name in ("class", "id") and value and tag not in ("html", "body") and tag not in CONTENT:
+        if tag == "article" and name == "class" and value:
+            # By what a name begins with: comment-body or related-post, not has-comments or category-notice.
+            if not NOISE.isdisjoint(re.split(r"[^a-z0-9]", x)[0] for x in value.lower().split()):
+                return True
+        elif name in ("class", "id") and value and tag not in ("html", "body") and tag not in CONTENT:
             if not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())):
                 return True
         elif name == "role" and value and value.lower() in NOISE_ROLES:
@@ -205,12 +209,9 @@ def content_paths(blocks: list[Block], threshold: float = THRESHOLD) -> set[tupl
         near = per_block[max(0, i - 1):i + 2]
         smooth.append(tuple((per_block[i][k] + sum(x[k] for x in near) / len(near)) / 2 for k in (0, 1)))
     fused = {path: sum(smooth[i][0] * smooth[i][1] ** 0.5 for i in p.blocks) / len(p.blocks) for path, p in paths.items()}
-    # An article or main element vouches for its paths: a lead that no path outside can make up.
-    lead = CONTAINER_LEAD * len(fused) * max(fused.values(), default=0.0)
-    fused = {path: score + lead * paths[path].content for path, score in fused.items()}
+    fused = {path: score * (CONTAINER_FACTOR if paths[path].content else 1) for path, score in fused.items()}
     least = threshold * sum(fused.values()) / max(1, len(fused))
-    return {path for path, score in fused.items()
-            if score >= least and (paths[path].content or 2 * paths[path].linked < paths[path].text)}
+    return {path for path, score in fused.items() if score >= least and 2 * paths[path].linked < paths[path].text}
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:

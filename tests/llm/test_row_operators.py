@@ -226,6 +226,24 @@ def test_pages(page, text):
     assert html_extraction.main_text(page) == text
 
 
+@pytest.mark.parametrize("tag", ("<article>", "<article class='teaser'>", "<article class='comment-body'>", "<article class='related'>"))
+def test_text_beside_an_article(tag):
+    body = [f"This is paragraph {i} of the main text, which is long, has marks; and goes on for a while." for i in range(8)]
+    page = "<div class=post>" + "".join(f"<p>{b}</p>" for b in body) + f"</div>{tag}<p>Read more here.</p></article>"
+    got = html_extraction.main_text(page).split("\n")
+    assert got[:8] == body and ("comment" not in tag and "related" not in tag or len(got) == 8)
+
+
+def test_links_inside_main():
+    body = "".join(f"<p>Paragraph {i} of the text, which is long, has marks; and goes on for a while.</p>" for i in range(5))
+    page = f"<main><ul><li><a href=1>Home</a><li><a href=2>All the latest news</a></ul><div>{body}</div></main>"
+    assert html_extraction.main_text(page) == "\n".join(re.findall("<p>(.*?)</p>", body))
+
+
+def test_names_of_an_article():
+    assert html_extraction.main_text("<article class='post has-comments category-notice'><p>Text.</p></article>") == "Text."
+
+
 def test_page_rows(spark):
     rows = [(1, "u", None, "c"), (None, None, "<p>x</p>", "c"), (1, "u", "<p>" + "long. " * 100_000, "c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
