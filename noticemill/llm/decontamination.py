@@ -22,6 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticemill.session import cut_lineage
+
 WINDOW = 10
 #: Words of items in one automaton.
 BLOCK_WORDS = 500_000
@@ -180,12 +182,15 @@ _FOUND = "n_words bigint, spans array<array<int>>, items array<string>"
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id``, ``text``, ``n_words``, ``spans`` of hit words and sorted ``items`` of every row."""
+    return _scan(docs, [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)])
+
+
+def _scan(docs: DataFrame, shared: list) -> DataFrame:
+    """As ``scan``, through the given broadcast automata; spans are merged over all of them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spark = docs.sparkSession
     out = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"),
                       F.lit(None).cast("bigint").alias("n_words"), F.lit(None).cast("array<array<int>>").alias("spans"),
                       F.lit(None).cast("array<string>").alias("items"))
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
 
     def through(auto):
         def work(batches):
@@ -229,6 +234,44 @@ def cut(text: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _rounds(carried: DataFrame, autos: list, kind: str, max_coverage: float) -> DataFrame:
+    """(rest, text) after cutting the spans of all automata at once, again and again until nothing is hit."""
+    state = "hit bigint, total bigint, again boolean"
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            row = batch.column(0)
+            given = zip(*(row.field(i).to_pylist() for i in (1, 2)),
+                        *(batch.column(i).to_pylist() for i in (1, 2, 3)))
+            texts, hits, totals, again, keep = [], [], [], [], []
+            for hit, total, text, n_words, spans in given:
+                total = n_words if total is None else total
+                hit += sum(b - a for a, b in spans)
+                keep.append(not spans or hit <= max_coverage * total)
+                texts.append(cut(text, spans) if spans and keep[-1] else text)
+                hits.append(hit)
+                totals.append(total)
+                again.append(bool(spans))
+            yield pa.RecordBatch.from_arrays(
+                [row.field(0), pa.array(hits, pa.int64()), pa.array(totals, pa.int64()),
+                 pa.array(again, pa.bool_()), pa.array(texts, pa.binary())],
+                ["rest", "hit", "total", "again", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    todo = carried.select("rest", F.lit(0).cast("bigint").alias("hit"),
+                          F.lit(None).cast("bigint").alias("total"), F.lit(True).alias("again"), "text")
+    done = None
+    while True:
+        keyed = todo.select(F.struct("rest", "hit", "total").alias("doc_id"), "text")
+        cleaned = cut_lineage(_scan(keyed, autos).mapInArrow(work, f"rest {kind}, {state}, text binary"))
+        still = cleaned.where("NOT again").select("rest", "text")
+        done = still if done is None else done.unionByName(still)
+        todo = cleaned.where("again")
+        if not todo.take(1):
+            return done
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE,
           block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without hit spans, those of a larger coverage dropped; columns as they came, ``n_chars`` renewed.
@@ -266,10 +309,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cover
                                                  ["rest", "text"]).filter(keep)
         return work
 
-    # Cuts of one automaton can join words that another one knows, so a pass over all is repeated once for each.
-    out = carried
-    for auto in autos if len(autos) == 1 else autos * 2:
-        out = out.mapInArrow(through(auto), f"rest {kind}, text binary")
+    if len(autos) == 1:
+        out = carried.mapInArrow(through(autos[0]), f"rest {kind}, text binary")
+    else:
+        out = _rounds(carried, autos, kind, max_coverage)
     whole = out.select("rest", F.col("text").cast("string").alias("text"))
     columns = [F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
     result = whole.select(*columns)

@@ -107,6 +107,23 @@ def test_decontamination_of_tricky_rows(spark, tricky, no_docs):
     assert nothing.where("contaminated").count() == 0 and nothing.count() == tricky.count()
 
 
+def test_clean_is_the_same_for_any_blocks(spark):
+    def ws(a, b):
+        return [f"w{i}" for i in range(a, b)]
+
+    items = spark.createDataFrame([(1, " ".join(ws(0, 20))), (2, " ".join(ws(12, 32))), (3, " ".join(ws(100, 120))),
+                                   (4, " ".join(ws(200, 220)))], "item_id long, text string")
+    docs = [(1, ws(100, 120) + ws(900, 926) + ws(200, 220)),  # 40 of 66 words
+            (2, ws(900, 940) + ws(0, 32) + ws(940, 980)),  # spans that overlap
+            (3, ws(900, 940) + ws(200, 208) + ws(0, 20) + ws(208, 220) + ws(940, 980)),  # a cut joins an item of another block
+            (4, ws(900, 950)), (5, [])]
+    rows = spark.createDataFrame([(i, " ".join(t), len(" ".join(t))) for i, t in docs] + [(6, None, None)],
+                                 "doc_id long, text string, n_chars long")
+    one = sorted(map(str, decontamination.clean(rows, items).collect()))
+    assert one == sorted(map(str, decontamination.clean(rows, items, block_words=20).collect()))
+    assert sorted(r.doc_id for r in decontamination.clean(rows, items, block_words=20).collect()) == [2, 3, 4, 5, 6]
+
+
 # --- secrets
 
 BASE = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
