@@ -4,7 +4,7 @@ A page becomes a list of blocks in page order, each with the path of block tags
 lengths of text, of linked text and the punctuation of all its blocks are added up; a path's two ratios (text per block
 and punctuation per text, both damped by the linked share) are smoothed over the page order with the neighbouring blocks
 and fused into one score, which counts ``CONTAINER_FACTOR`` times inside an article or main element. A path whose score reaches
-``threshold`` times the mean over the page's paths is content. Menus, forms, notices and the like that say so in their tags,
+``threshold`` times the mean over the page's paths is content, and so is a heading right before content. Menus, forms, notices and the like that say so in their tags,
 classes or roles take no part.
 
 Defined cases: a null or empty page gives an empty text; broken markup (unclosed or stray tags) is read as a browser would
@@ -221,7 +221,16 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     reader.feed(page)
     reader.close()
     keep = content_paths(reader.blocks, threshold)
-    return "\n".join(b.text for b in reader.blocks if b.path in keep)
+    found: list[Block] = []
+    below = None  # the block after, if it is content
+    for b in reversed(reader.blocks):
+        # A heading is short whatever it leads, so it goes with the content that follows it within its parent.
+        leads = (below is not None and b.path[-1:] and b.path[-1] in HEADINGS and 2 * b.linked < len(b.text)
+                 and below.path[:len(b.path) - 1] == b.path[:-1])
+        below = b if b.path in keep or leads else None
+        if below:
+            found.append(b)
+    return "\n".join(b.text for b in reversed(found))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), threshold: float = THRESHOLD) -> DataFrame:

@@ -257,6 +257,11 @@ def test_links_inside_main():
     assert html_extraction.main_text(page) == "\n".join(re.findall("<p>(.*?)</p>", body))
 
 
+def test_heading_before_dense_text():
+    page = "<article><h1>A heading of text.</h1><p>" + "LOUD!! WORDS!! " * 90 + "</p><p>And some more words.</p></article>"
+    assert html_extraction.main_text(page).startswith("A heading of text.\nLOUD")
+
+
 def test_names_of_an_article():
     assert html_extraction.main_text("<article class='post has-comments category-notice'><p>Text.</p></article>") == "Text."
 
