@@ -1,9 +1,7 @@
-"""Byte-level BPE ids of whole texts, fast for texts of single-spaced words.
+"""Byte-level BPE ids of whole texts, with the vocabulary of a given tokenizer file.
 
-The vocabulary is the one of the given tokenizer file. A pre-token never reaches across a single blank except to take it
-as its first character, so the ids of a text are those of its blank-led words, one after the other; words that come again
-are looked up. Anything else (runs of white space, tabs, empty lines) is encoded as one whole text. The file's added tokens
-(``<|endoftext|>``) are cut out of a text first and have their own ids, as in the tokenizers library.
+The file's added tokens (``<|endoftext|>``) are cut out of a text first and have their own ids, as in the tokenizers library;
+``plain`` reads their strings as ordinary text.
 """
 
 from __future__ import annotations
@@ -13,8 +11,6 @@ import re
 from functools import lru_cache
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words remembered by a worker for each of the two positions (first in a line, after a blank).
-REMEMBERED = 500_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -43,65 +39,27 @@ class Encoder:
             raise ValueError("added tokens that depend on their surroundings are not supported")
         special = {t["content"]: t["id"] for t in added}
         ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        self._plain = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                        special_tokens={}).encode_ordinary
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {}
-        self._newline = self._pack("\n")
-        self._marks = {c: self._pack(c) for c in ".,;:!?"}
+        self._ids = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                      special_tokens={}).encode_ordinary
+        #: The bytes of each id; None for ids without any.
+        self.bytes: list[bytes | None] = [None] * (max([*ranks.values(), *special.values()]) + 1)
+        for token, i in ranks.items():
+            self.bytes[i] = token
         self._special = {t: i.to_bytes(4, "little") for t, i in special.items()}
         longest = "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True))
         self._cut = re.compile(f"({longest})").split if special else None
 
-    def _pack(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
+        """Ids as unsigned 32-bit little-endian integers; the strings of added tokens are ordinary text."""
         import numpy as np
 
-        return np.array(self._plain(text), dtype="<u4").tobytes()
-
-    def _fill(self, known: dict, lead: str, words: list[str], found: list) -> bool:
-        """Completes ``found``; False if a word is empty or holds white space."""
-        for i, ids in enumerate(found):
-            if ids is None:
-                word = words[i]
-                if len(word.split()) != 1 or len(word.strip()) != len(word):
-                    return False
-                if word[-1] in self._marks and word[-2:-1].isalpha():  # letters and a mark are two pre-tokens
-                    base = word[:-1]
-                    ids = known.get(base)
-                    if ids is None:
-                        ids = self._pack(lead + base)
-                        if len(known) < REMEMBERED and len(base) <= 32:
-                            known[base] = ids
-                    found[i] = ids = ids + self._marks[word[-1]]
-                else:
-                    found[i] = ids = self._pack(lead + word)
-                if len(known) < REMEMBERED and len(word) <= 32:
-                    known[word] = ids
-        return True
+        return np.array(self._ids(text), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Ids as unsigned 32-bit little-endian integers."""
         if any(t in text for t in self._special):
-            return b"".join(self._special[part] if i % 2 else self._ordinary(part) for i, part in enumerate(self._cut(text)))
-        return self._ordinary(text)
-
-    def _ordinary(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts: list[bytes] = []
-        for n, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if n:
-                parts.append(self._newline)
-            first = [self._first.get(words[0])]
-            rest = list(map(self._later.get, words[1:]))
-            if first[0] is None and not self._fill(self._first, "", words[:1], first):
-                return self._pack(text)
-            if None in rest and not self._fill(self._later, " ", words[1:], rest):
-                return self._pack(text)
-            parts += first
-            parts += rest
-        return b"".join(parts)
+            return b"".join(self._special[part] if i % 2 else self.plain(part) for i, part in enumerate(self._cut(text)))
+        return self.plain(text)
 
 
 @lru_cache(maxsize=2)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from noticemill.llm import (decontamination, html_extraction, language_id, line_dedup, packing, preference_format,
-                            quality_rules, secret_scan, simhash, url_filters)
+                            quality_rules, secret_scan, simhash, token_alignment, token_files, url_filters)
 
 _MODULES = (line_dedup, preference_format, decontamination, packing, quality_rules, secret_scan, language_id, url_filters, simhash,
-            html_extraction)
+            html_extraction, token_alignment, token_files)
 
 
 def entries() -> dict:
