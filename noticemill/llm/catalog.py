@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from noticemill.llm import (decontamination, html_extraction, language_id, line_dedup, packing, preference_format,
+from noticemill.llm import (collocations, decontamination, html_extraction, language_id, line_dedup, packing, preference_format,
                             quality_rules, secret_scan, simhash, token_alignment, token_files, url_filters)
 
 _MODULES = (line_dedup, preference_format, decontamination, packing, quality_rules, secret_scan, language_id, url_filters, simhash,
-            html_extraction, token_alignment, token_files)
+            html_extraction, collocations, token_alignment, token_files)
 
 
 def entries() -> dict:

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noticemill.llm import byte_bpe, token_alignment, token_files
+from noticemill.llm import byte_bpe, collocations, token_alignment, token_files
 from llm_cases import SF
+from oracle_check import compare, duck
 
 
 # --- alignment
@@ -203,3 +204,55 @@ def test_lookup_reads_few_row_groups(spark, tmp_path):
     from pyarrow import orc
 
     assert max(orc.ORCFile(f).nstripes for f in map(str, (tmp_path / "files").glob("*.orc"))) > 1
+
+
+# --- collocations
+
+def brute_collocations(docs, support, top):
+    """The definition, phrase by phrase."""
+    import re
+
+    n, f = Counter(), Counter()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i:i + m])) for m in range(1, 5) for i in range(len(w) - m + 1))
+    f = Counter({k: v for k, v in f.items() if v >= support})
+    longer = defaultdict(int)
+    for (lang, w), v in f.items():
+        for m in range(2, len(w)):
+            for i in range(len(w) - m + 1):
+                longer[lang, w[i:i + m]] = max(longer[lang, w[i:i + m]], v)
+    rows = defaultdict(list)
+    for (lang, w), a in f.items():
+        if len(w) > 1 and not 100 * longer[lang, w] >= 80 * a:
+            cuts = [(2_000_000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            rows[lang].append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return sorted((lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for lang, found in rows.items()
+                  for i, (s, a, p, l, r) in enumerate(sorted(found)[:top]))
+
+
+@pytest.mark.parametrize("shards, bits, hot", [(1, (1 << 20, 1 << 28), 20_000), (3, (1 << 15, 1 << 15), 5), (50, (1 << 18, 1 << 20), 1)])
+def test_collocations_equal_brute_force(spark, documents, tricky, monkeypatch, shards, bits, hot):
+    """Over one and many shards, with a nearly full bit array, and in batches of a few texts."""
+    monkeypatch.setattr(collocations, "BITS", bits)
+    monkeypatch.setattr(collocations, "HOT", hot)
+    monkeypatch.setattr(collocations, "BATCH_CHARS", 50_000)
+    odd = [("ÀB àb ÀB\x1cz z\x00z  z\tz\x0bz. .. z z\u2028z\xa0z" * 4, "en"), ("Z Z z Z, z z? Z", None), ("z z z z", "und"), (".", "xx"),
+           ("a b c d e. " * 9 + "a b c d. " * 3, "de")]
+    docs = [(d["text"], d["lang"]) for d in documents] + odd + [(r.text, r.lang) for r in tricky.collect()]
+    frame = spark.createDataFrame(docs, "text string, lang string").repartition(4).withColumns({c: F.lit("x") for c in ("h", "f", "m", "n", "phrase")})
+    for support, top in ((4, 10_000), (30, 20)):
+        got = sorted(tuple(r) for r in collocations.collocations(frame, support, shards, top).collect())
+        assert got == brute_collocations(docs, support, top)
+
+
+def test_collocations_of_no_documents_and_sql(spark, no_docs):
+    assert collocations.collocations(no_docs).count() == 0
+    for name, (fn, sql) in collocations.ENTRIES.items():
+        ok, text = compare(spark, SF, name, fn, sql, duck(SF))
+        assert ok, text
