@@ -56,3 +56,13 @@ def mark_delivered(history: DataFrame, plan: DataFrame, delivered_at, report_id:
         F.coalesce(F.col("first_delivered_at"), ts).alias("first_delivered_at"),
         F.when(now_due, ts).otherwise(F.col("last_delivered_at")).alias("last_delivered_at"),
         F.when(now_due, F.coalesce(rid, F.col("report_id"))).otherwise(F.col("report_id")).alias("report_id"))
+
+
+def delivered_rows(history: DataFrame, plan: DataFrame, delivered_at, report_id: str | None) -> DataFrame:
+    """Only the rows of the history that handing over the plan adds or replaces."""
+    due = plan.where(F.col("change") != "skipped").select(*KEY, "content_hash")
+    before = history.select(*KEY, F.col("first_delivered_at").alias("_first"), F.col("report_id").alias("_report"))
+    ts = F.lit(delivered_at)
+    return due.join(before, KEY, "left").select(
+        *KEY, "content_hash", F.coalesce("_first", ts).alias("first_delivered_at"), ts.alias("last_delivered_at"),
+        F.coalesce(F.lit(report_id).cast("string"), "_report").alias("report_id"))

@@ -363,17 +363,3 @@ def shown_value(value: Column, status: Column) -> Column:
     """Display text of a field: its value, else the fixed text for why it is missing."""
     return F.when(text_or_empty(value) != "", value).when(status == "unavailable_no_detail", C.DETAIL_UNAVAILABLE).otherwise(
         C.MISSING)
-
-
-def backfill(store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows below version 2: texts to extract again, and rows that need another crawl."""
-    old = store.where((F.coalesce("extraction_version", F.lit("")) != "v2") | F.col("detail_url").isNull())
-    ready = (F.col("detail_status") == "full") & (strip(text_or_empty(F.col("clean_content"))) != "")
-    mapped = F.when((F.col("source_name") == "cebpub") & (text_or_empty(F.col("source_item_id")) != ""),
-                    X.detail_url(F.col("source_item_id"))).otherwise(F.col("detail_url"))
-    old = old.withColumn("detail_url", mapped)
-    again = old.where(ready).withColumn("extraction_version", F.lit("v2"))
-    wait = old.where(~ready).withColumn("extraction_version", F.lit("needs_recrawl")).withColumn(
-        "detail_status", F.when(F.col("detail_status").isin("unknown", "failed"), "metadata_only")
-        .otherwise(F.col("detail_status")))
-    return again, wait

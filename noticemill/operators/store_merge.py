@@ -8,6 +8,7 @@ records of a batch may hit the same stored notice; they are folded by aggregates
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -22,9 +23,10 @@ LIFECYCLE_REASON = "同项目编号不同公告类型，关联但不合并"
 
 @dataclass
 class StoreDelta:
-    """Next state of the notice table and the child rows to append."""
+    """Next state of the notice table, its changed rows alone, and the child rows to append."""
 
     notices: DataFrame
+    changed: DataFrame
     matches: DataFrame
     sources: DataFrame
     reasons: DataFrame
@@ -126,9 +128,17 @@ def _content_choice(hits: DataFrame) -> DataFrame:
         F.when(had_full, F.col("full_seq")).when(fill, F.col("fill_seq")).otherwise(F.col("peer_seq")).alias("type_seq"))
 
 
-def upsert(records: DataFrame, store: DataFrame, seen_at) -> StoreDelta:
-    """``records``: primaries with a fresh ``notice_id`` to use when nothing stored matches."""
+def upsert(records: DataFrame, store: DataFrame, seen_at, fetch: Callable[[DataFrame], DataFrame] | None = None) -> StoreDelta:
+    """``records``: primaries with a fresh ``notice_id`` to use when nothing stored matches.
+
+    With ``fetch``, ``store`` need only have the columns by which records match, and ``fetch`` gives the whole stored rows of
+    some ids; ``notices`` then is ``changed``.
+    """
     matched = match_store(records, store)
+    lookup = store
+    if fetch:
+        matched = cut_lineage(matched)
+        store = fetch(matched.where("stored_id IS NOT NULL").select(F.col("stored_id").alias("notice_id")).distinct())
     hit, miss = matched.where("stored_id IS NOT NULL"), matched.where("stored_id IS NULL")
     old = store.select(F.col("notice_id").alias("stored_id"), F.col("detail_status").alias("old_status"),
                        F.length(text_or_empty(F.col("clean_content"))).alias("old_chars"),
@@ -154,7 +164,9 @@ def upsert(records: DataFrame, store: DataFrame, seen_at) -> StoreDelta:
         "project_code": F.coalesce(blank_to_null(F.col("project_code")), F.col("new_code")),
         "last_seen_at": F.when(touched, now).otherwise(F.col("last_seen_at")),
     }
-    kept = base.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in store.columns])
+    def after(rows: DataFrame) -> DataFrame:
+        return rows.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in store.columns])
+
     fresh = miss.withColumns({"is_primary": F.lit(True), "first_seen_at": now, "last_seen_at": now})
     added = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(store.schema[c].dataType).alias(c)
                            for c in store.columns])
@@ -168,16 +180,21 @@ def upsert(records: DataFrame, store: DataFrame, seen_at) -> StoreDelta:
     reasons = hit.select(F.col("stored_id").alias("notice_id"), F.lit("库内重复").alias("reason")).distinct()
     links = matched.select(target, F.explode("attachment_links").alias("link")).distinct()
     return StoreDelta(
-        notices=kept.unionByName(added), matches=matched.select("seq", target, "matched_by", F.col("stored_id").isNotNull()
+        notices=after(base if not fetch else base.where(touched)).unionByName(added),
+        changed=after(base.where(touched)).unionByName(added), matches=matched.select("seq", target, "matched_by", F.col("stored_id").isNotNull()
                                                                 .alias("matched")),
         sources=own.unionByName(merged_in).unionByName(same), reasons=reasons, attachments=links,
-        lifecycle=lifecycle_links(miss, store))
+        lifecycle=lifecycle_links(miss, lookup))
 
 
 def append_distinct(existing: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
     """Child rows after an append that keeps the first of equal rows."""
-    return existing.unionByName(extra.join(existing.select(*keys), keys, "left_anti").dropDuplicates(keys),
-                                allowMissingColumns=True)
+    return existing.unionByName(new_rows(existing, extra, keys), allowMissingColumns=True)
+
+
+def new_rows(existing: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``extra`` whose keys do not exist yet, one for each key."""
+    return extra.join(existing.select(*keys), keys, "left_anti").dropDuplicates(keys)
 
 
 def snapshot_rows(candidates: DataFrame, hints: DataFrame) -> DataFrame:

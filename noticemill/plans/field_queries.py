@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noticemill import constants as C
-from noticemill.operators import evidence, extraction
+from noticemill.operators import evidence, extraction, reextraction
 from noticemill.plans import views as V
 
 
@@ -148,13 +148,39 @@ def correction_check(spark, sf):
         rejected.select("correction_id", F.lit(None).cast("string").alias("previous_value"), "error"))
 
 
-def version_backfill(spark, sf):
+def _versioned(spark, sf):
     k = F.col("notice_id")
-    rows = V.notices(spark, sf).withColumns({
+    return V.notices(spark, sf).withColumns({
         "extraction_version": F.when(k % 2 == 0, "v2").when(k % 3 == 0, "v1"),
         "detail_url": F.when(k % 5 != 0, F.col("source_url"))})
-    again, wait = extraction.backfill(rows)
-    return again.unionByName(wait).select("notice_id", "extraction_version", "detail_status", "detail_url")
+
+
+def version_backfill(spark, sf):
+    """Old rows after the backfill: extracted where they have a text, else marked."""
+    done = reextraction.backfill(_versioned(spark, sf), fields=["announcement_type"])
+    return done.notices.select("notice_id", "extraction_version", "detail_status", "detail_url", "announcement_type")
+
+
+def _number_corrections(spark, sf):
+    return _corrections(spark, sf).where("field_name <> 'colour'")
+
+
+def backfill_fields(spark, sf):
+    """Purchaser and budget of the backfilled rows, with the corrections by hand on top."""
+    done = reextraction.backfill(_versioned(spark, sf), corrections=_number_corrections(spark, sf), fields=["purchaser", "budget"])
+    return done.fields.where("field_name IN ('purchaser', 'budget')").select("notice_id", "field_name", "value", "status", "evidence_id")
+
+
+def named_reextraction(spark, sf):
+    """Every customer's latest order is asked for again: its fields, or why it is refused."""
+    ids = V.load(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("notice_id"))
+    done = reextraction.reextract(_versioned(spark, sf), ids, _number_corrections(spark, sf), fields=["purchaser"])
+    none = F.lit(None).cast("string")
+    return done.fields.where("field_name = 'purchaser'").join(
+        done.notices.select("notice_id", "extraction_version", "project_code"), "notice_id").select(
+        "notice_id", "value", "method", "extraction_version", "project_code", none.alias("error")).unionByName(
+        done.refused.select("notice_id", none.alias("value"), none.alias("method"), none.alias("extraction_version"),
+                            none.alias("project_code"), "error"))
 
 
 N = V.cte("notices")
@@ -177,6 +203,12 @@ _ERR = """e AS (SELECT doc_id AS k, CASE WHEN doc_id % 5 = 0 THEN 'colour' WHEN
 v AS (SELECT k AS notice_id, f AS field_name, CASE WHEN f = 'colour' OR (blank AND k % 3 <> 0) THEN f || ': 字段名、值或原文片段无效'
   WHEN k % 3 = 0 THEN f || ': quote 无法在声明的原文页中定位' WHEN k % 7 = 0 THEN f || ': value 无法在原文中定位' END AS error FROM e)"""
 
+#: The last correction of each notice and field, as text; numbers run over all corrections of a notice.
+_LAST_FIX = """c AS (SELECT notice_id, field_name, arg_max(value, n) AS value, max(n) AS n FROM (
+  SELECT user_id AS notice_id, ['purchaser', 'budget', 'colour'][event_id % 3 + 1] AS field_name, cast(value AS string) AS value,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error' AND event_id % 3 <> 2)
+  GROUP BY notice_id, field_name)"""
+
 ENTRIES = {
     "field_values_purchaser": (_one("purchaser"), _field("purchaser", "buyer", "采购人")),
     "field_values_project_code": (_one("project_code"), _field(
@@ -245,6 +277,21 @@ SELECT event_id AS correction_id, CASE f WHEN 'purchaser' THEN buyer WHEN 'budge
     "version_backfill": (version_backfill, f"""{N} SELECT notice_id, CASE WHEN {_FULL} THEN 'v2' ELSE 'needs_recrawl' END AS extraction_version,
   CASE WHEN detail_status = 'failed' THEN 'metadata_only' ELSE detail_status END AS detail_status,
   CASE WHEN source_name = 'cebpub' THEN '{C.DETAIL_URL_BASE}?uuid=' || source_item_id || '&inpvalue=&dataSource=0&tenderAgency='
-    WHEN notice_id % 5 <> 0 THEN source_url END AS detail_url
+    WHEN notice_id % 5 <> 0 THEN source_url END AS detail_url, '公开招标' AS announcement_type
 FROM notices WHERE notice_id % 2 = 1 OR notice_id % 5 = 0"""),
+    "backfill_fields": (backfill_fields, f"""{N}, {_LAST_FIX},
+f AS (SELECT notice_id, 'purchaser' AS field_name, buyer AS value, '采购人' AS label FROM notices
+  UNION ALL SELECT notice_id, 'budget', {_PRICE}, 'budget' FROM notices)
+SELECT notice_id, f.field_name, coalesce(c.value, f.value) AS value, CASE WHEN c.value IS NULL THEN 'verified' ELSE 'corrected' END AS status,
+  CASE WHEN c.value IS NULL THEN 'E-' || f.field_name || '-0' ELSE 'M-' || f.field_name || '-' || cast(c.n AS string) END AS evidence_id
+FROM f JOIN notices USING (notice_id) LEFT JOIN c USING (notice_id, field_name)
+WHERE {_FULL} AND (notice_id % 2 = 1 OR notice_id % 5 = 0)"""),
+    "named_reextraction": (named_reextraction, f"""{N}, {_LAST_FIX},
+ids AS (SELECT max(o_orderkey) AS notice_id FROM orders GROUP BY o_custkey)
+SELECT notice_id, CASE WHEN {_FULL} THEN coalesce(c.value, buyer) END AS value,
+  CASE WHEN {_FULL} THEN CASE WHEN c.value IS NULL THEN 'rule' ELSE 'manual_correction' END END AS method,
+  CASE WHEN {_FULL} THEN 'v2' END AS extraction_version,
+  CASE WHEN {_FULL} THEN 'ORD' || lpad(cast(notice_id AS string), 8, '0') END AS project_code,
+  CASE WHEN {_FULL} THEN NULL WHEN buyer IS NULL THEN '公告不存在' ELSE '{reextraction.NO_TEXT}' END AS error
+FROM ids LEFT JOIN notices USING (notice_id) LEFT JOIN (SELECT * FROM c WHERE field_name = 'purchaser') c USING (notice_id)"""),
 }

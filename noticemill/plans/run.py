@@ -15,15 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticemill.functions import text as X
-from noticemill.operators import aggregates, dedup, delivery, filters, matching, reports, store_merge
+from noticemill.operators import aggregates, dedup, delivery, filters, matching, reextraction, reports, store_merge
 from noticemill.session import broadcast_if_small, cut_lineage
 from noticemill.sources import schemas
-from noticemill.sources.store import VersionedStore
-
-STATE = {"notices": schemas.NOTICE, "sources": schemas.NOTICE_SOURCE, "reasons": schemas.NOTICE_REASON,
-         "attachments": schemas.NOTICE_LINK, "lifecycle": schemas.LIFECYCLE, "history": schemas.HISTORY,
-         "pending": schemas.LIST_ITEM}
-#: Items held back by a cap go before those of the next batch; this shift keeps their numbers apart.
+from noticemill.sources.store import Table, VersionedStore
+
+STATE = {"notices": Table(schemas.NOTICE, "keyed", ("notice_id",)), "sources": Table(schemas.NOTICE_SOURCE, "rows"),
+         "reasons": Table(schemas.NOTICE_REASON, "rows"), "attachments": Table(schemas.NOTICE_LINK, "rows"),
+         "lifecycle": Table(schemas.LIFECYCLE, "rows"), "history": Table(schemas.HISTORY, "keyed", ("task_id", "notice_id")),
+         "pending": Table(schemas.PENDING, "keyed", ("item_key",)), "corrections": Table(schemas.CORRECTION, "rows"),
+         "fields": Table(schemas.FIELD, "keyed", ("notice_id", "field_name"))}
+#: By what a record finds its stored notice and its siblings.
+MATCH_COLUMNS = ["notice_id", "is_primary", "project_code", "announcement_type", "deduplication_key", "content_hash",
+                 "source_name", "source_url"]
+#: Waiting items go before those of the next batch; this shift keeps their numbers apart.
 PENDING_SHIFT = 1 << 40
 
 
@@ -51,6 +56,35 @@ def chosen_details(details: DataFrame, urls: DataFrame) -> DataFrame:
     return mine.groupBy("source_url").agg(F.max_by(F.struct(*rest), best).alias("d")).select("source_url", "d.*")
 
 
+def due_items(state: VersionedStore, details: DataFrame) -> DataFrame:
+    """Waiting items whose turn it is: held back by a cap, or waiting for a detail that has landed since."""
+    waiting = state.read("pending").withColumn("seq", F.col("seq") - PENDING_SHIFT)
+    urls = waiting.where("why = 'detail'").select("source_url").distinct()
+    landed = details.where("detail_status IS NOT NULL").select("source_url").join(
+        broadcast_if_small(urls), "source_url", "left_semi").distinct().withColumn("_landed", F.lit(True))
+    joined = waiting.join(broadcast_if_small(landed), "source_url", "left")
+    return joined.where("why = 'cap' OR _landed").select(*waiting.columns)
+
+
+def item_key() -> F.Column:
+    """What makes an item that comes again the same while it waits."""
+    return F.sha2(F.to_json(F.struct("source_name", "source_url", "source_item_id", "title")), 256)
+
+
+def waiting_changes(items: DataFrame, due: DataFrame, trail: DataFrame) -> DataFrame:
+    """Changes of the waiting items: those that no longer wait, and those that now do, once each.
+
+    An item waits as long as a task that wants it found no place below its cap or no detail.
+    """
+    why = trail.where("outcome IN ('cap_skipped', 'detail_failed')").groupBy("seq").agg(
+        F.min(F.when(F.col("outcome") == "cap_skipped", "cap").otherwise("detail")).alias("why"))
+    waits = items.join(why, "seq").withColumn("item_key", item_key()).withColumn("is_gone", F.lit(False))
+    first = waits.groupBy("item_key").agg(F.min_by(F.struct(*[c for c in waits.columns if c != "item_key"]), "seq").alias("i"))
+    first = first.select("item_key", "i.*")
+    over = due.join(first.select("item_key"), "item_key", "left_anti").withColumn("is_gone", F.lit(True))
+    return first.unionByName(over.select(*first.columns))
+
+
 def accepted_details(items: DataFrame, details: DataFrame, tasks: DataFrame, cap: int | None) -> tuple[DataFrame, DataFrame]:
     """(outcome and reason of each task × item that passed the list, accepted items once each)."""
     pairs = matching.match_subscriptions(items.select(
@@ -103,6 +137,8 @@ def as_candidates(accepted: DataFrame) -> DataFrame:
     return accepted.withColumns({
         "content_hash": X.content_hash(t, c, u),
         "deduplication_key": X.source_key(F.col("source_name"), F.col("source_item_id"), u, t),
+        "detail_url": F.when((F.col("source_name") == "cebpub") & (X.text_or_empty(F.col("source_item_id")) != ""),
+                             X.detail_url(F.col("source_item_id"))).otherwise(u),
         "summary": X.simple_summary(t, c), "project_code": code, "announcement_type": X.blank_to_null(kind),
         "attachment_links": F.coalesce("attachment_links", F.array().cast("array<string>"))})
 
@@ -115,17 +151,18 @@ def _type_pattern() -> str:
 
 def run_batch(state: VersionedStore, version: int, items: DataFrame, details: DataFrame, tasks: DataFrame, now: str,
               report_root: str | None = None, mode: str = "incremental", cap: int | None = None,
-              fold_limit: int = dedup.FOLD_LIMIT, status: str = "success") -> RunResult | None:
+              fold_limit: int = dedup.FOLD_LIMIT, status: str = "success", extract: bool = True) -> RunResult | None:
     """Process one batch as ``version`` of the state; a committed version is not run again.
 
     With a ``cap`` at most so many items of a task and source are looked up; the others wait in the state for the next
-    version. ``status`` is that of the sources' reading (success, partial, failed); a failed one delivers nothing.
+    version. Items whose detail has not landed wait for it. The fields of new and changed notices are extracted, with the
+    corrections made to them on top, unless ``extract`` is off. ``status`` is that of the sources' reading (success, partial, failed); a failed one delivers nothing.
     """
     if state.is_committed(version):
         return None
     live = filters.live_tasks(tasks)
-    waiting = state.read("pending").withColumn("seq", F.col("seq") - PENDING_SHIFT)
-    items = cut_lineage(items.select(*waiting.columns).unionByName(waiting))
+    due = cut_lineage(due_items(state, details))
+    items = cut_lineage(items.select(*schemas.LIST_ITEM.fieldNames()).unionByName(due.select(*schemas.LIST_ITEM.fieldNames())))
     trail, accepted = accepted_details(items, details, live, cap)
     candidates = cut_lineage(as_candidates(accepted))
     merged = dedup.deduplicate(candidates, fold_limit)
@@ -133,35 +170,41 @@ def run_batch(state: VersionedStore, version: int, items: DataFrame, details: Da
         "|", F.lit(str(version)), "deduplication_key", F.col("seq").cast("string")), 256), 1, 32))
     records = cut_lineage(ids)
 
-    store = state.read("notices")
-    delta = store_merge.upsert(records, store, now)
+    def held(keys: DataFrame) -> DataFrame:
+        return state.read("notices", among=keys)
+
+    delta = store_merge.upsert(records, state.read("notices", MATCH_COLUMNS), now, held)
     matches = cut_lineage(delta.matches)
-    notices = state.stage(version, "notices", delta.notices)
+    changed = cut_lineage(delta.changed)
+    if extract:
+        corrections = state.read("corrections").join(broadcast_if_small(changed.select("notice_id")), "notice_id", "left_semi")
+        fields = state.stage_changes(version, "fields", reextraction.extracted_fields(changed, corrections))
+        changed = reextraction.with_fields(changed, fields, code=False)
+    notices = state.stage_changes(version, "notices", changed)
     slots = matches.select(F.col("seq").alias("slot_seq"), "notice_id", "matched")
     absorbed = cut_lineage(dedup.absorbed_sources(merged, candidates).join(slots, "slot_seq"))
     sources = delta.sources.unionByName(absorbed.select("notice_id", "seq", "source_name", "source_url", "reason"))
-    state.stage(version, "sources", store_merge.append_distinct(
-        state.read("sources"), sources, ["notice_id", "source_url", "source_name"]))
+
+    def add(table: str, rows: DataFrame, keys: list[str]) -> None:
+        state.stage_changes(version, table, store_merge.new_rows(state.read(table), rows, keys))
+
+    add("sources", sources, ["notice_id", "source_url", "source_name"])
     # a stored notice that is met again without a merge of its own says so
     merges = absorbed.where("reason IS NOT NULL").select("notice_id", "reason").distinct()
-    reasons = merges.unionByName(delta.reasons.join(merges.select("notice_id"), "notice_id", "left_anti"))
-    state.stage(version, "reasons", store_merge.append_distinct(state.read("reasons"), reasons, ["notice_id", "reason"]))
+    add("reasons", merges.unionByName(delta.reasons.join(merges.select("notice_id"), "notice_id", "left_anti")), ["notice_id", "reason"])
     attachments = delta.attachments
     if merged.more_links is not None:
         attachments = attachments.unionByName(merged.more_links.join(slots, "slot_seq").select("notice_id", "link"))
-    state.stage(version, "attachments", store_merge.append_distinct(
-        state.read("attachments"), attachments, ["notice_id", "link"]))
-    held = trail.where("outcome = 'cap_skipped'").select("seq").distinct()
-    state.stage(version, "pending", items.join(held, "seq", "left_semi"))
-    state.stage(version, "lifecycle", store_merge.append_distinct(
-        state.read("lifecycle"), delta.lifecycle, ["notice_id", "announcement_id"]))
+    add("attachments", attachments, ["notice_id", "link"])
+    add("lifecycle", delta.lifecycle, ["notice_id", "announcement_id"])
+    state.stage_changes(version, "pending", waiting_changes(items, due, trail))
 
     slot_of = merged.members.select("seq", "slot_seq", "is_primary")
     placed = slot_of.join(slots, "slot_seq")
     delivered_to = trail.where("outcome = 'candidate'").join(placed, "seq")
     hashes = notices.select("notice_id", "content_hash")
     current = delivered_to.select("task_id", "notice_id").distinct().join(hashes, "notice_id")
-    history = state.read("history")
+    history = state.read("history", among=current)
     plan = cut_lineage(delivery.plan_delivery(current, history, mode))
 
     # one row per (task, raw item); members of one slot count as merged for that task
@@ -182,7 +225,7 @@ def run_batch(state: VersionedStore, version: int, items: DataFrame, details: Da
         reports.write_tables(tables, f"{report_root}/v={version}")
     # history moves last: only a written incremental report may mark anything as delivered
     allowed = delivery.delivery_allowed(status, mode, not due.isEmpty(), bool(report_root))
-    moved = delivery.mark_delivered(history, plan, now, f"report-{version}") if allowed else history
-    state.stage(version, "history", moved)
+    if allowed:
+        state.stage_changes(version, "history", delivery.delivered_rows(history, plan, now, f"report-{version}"))
     state.commit(version)
     return RunResult(outcomes, report, tables)
