@@ -3,7 +3,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -39,8 +39,27 @@ def components(nodes, linked):
 # --- line dedup
 
 def line_shingles(line):
-    found = {line_[m.end():m.end() + 12] for line_ in [" " + line] for m in re.finditer(" ", line_) if len(line_) - m.end() >= 6}
-    return found or {line}
+    return {line[i:i + 12] for i in range(max(1, len(line) - 11))}
+
+
+def linked_lines(frame):
+    """Verified pairs of lines."""
+    text_of = {r.h1: r.line for r in line_dedup.lines(frame).collect()}
+    keyed = line_dedup.bands(line_dedup.lines(frame))
+    return {tuple(sorted((text_of[r.a1], text_of[r.b1]))) for r in line_dedup.links(frame, keyed).collect()}
+
+
+def alike_lines(classes):
+    """Pairs of at least the similarity by brute force, over the shingles at every character."""
+    sets = {x: line_shingles(x) for x in classes}
+    return [(x, y) for i, x in enumerate(classes) for y in classes[i + 1:]
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+
+
+def recall(classes, linked, alike):
+    """Share of the similar pairs that the links put into one component."""
+    found = components(classes, linked)
+    return sum(found[x] == found[y] for x, y in alike) / len(alike)
 
 
 def test_lines_equal_brute_force(spark):
@@ -57,13 +76,9 @@ def test_lines_equal_brute_force(spark):
     docs = [(i, "\n".join(lines[5 * i:5 * i + 5])) for i in range(len(lines) // 5)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     classes = sorted(set(lines))
-    sets = {x: line_shingles(x) for x in classes}
-    alike = [(x, y) for i, x in enumerate(classes) for y in classes[i + 1:]
-             if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
-    signed = line_dedup.lines(frame).select("doc_id", "n", "h1", "h2", line_dedup._bands().alias("bands"))
-    text_of = {r.h1: r.line for r in line_dedup.lines(frame).collect()}
-    linked = {tuple(sorted((text_of[r.a1], text_of[r.b1]))) for r in line_dedup.links(frame, signed).collect()}
-    assert linked <= set(alike) and len(linked) >= 0.98 * len(alike)  # nothing false, high recall
+    alike = alike_lines(classes)
+    linked = linked_lines(frame)
+    assert linked <= set(alike) and recall(classes, linked, alike) >= 0.98  # nothing false, high recall
     comp = components(classes, linked)
     home = {}
     for i, text in docs:
@@ -91,20 +106,34 @@ def test_lines_without_blanks_equal_plain_shingles(spark):
     near = [x[:k] + "#" + x[k + 1:] for x in made for k in (3, 100)]
     classes = sorted({*made, *near, "公告", "abcdefghijkl", "abcdefghijklm"})
     docs = spark.createDataFrame(list(enumerate(classes)), "doc_id long, text string")
-    got = {r.line: set(r.s) for r in line_dedup.lines(docs).select("line", F.expr(line_dedup._hashes("s")).alias("s")).collect()}
-    plain = {x: {x[i:i + 12] for i in range(len(x) - 11)} or {x} for x in classes}
-    for x in classes:
-        assert len(got[x]) == len(plain[x])
-    mixed = spark.createDataFrame([(1, "see abcdefghijklmnop now ok")], "doc_id long, text string")
-    assert mixed.select(F.expr(f"regexp_extract_all(concat(' ', text), r'{line_dedup._SHINGLES}', 1)").alias("s")).first().s == [
-        "see abcdefgh", "abcdefghijkl", "bcdefghijklm", "cdefghijklmn", "defghijklmno", "efghijklmnop", "fghijklmnop ",
-        "ghijklmnop n", "hijklmnop no", "ijklmnop now", "jklmnop now ", "klmnop now o", "lmnop now ok", "now ok"]
-    alike = {(x, y) for i, x in enumerate(classes) for y in classes[i + 1:]
-             if len(plain[x] & plain[y]) >= 0.8 * len(plain[x] | plain[y])}
-    signed = line_dedup.lines(docs).select("doc_id", "n", "h1", "h2", line_dedup._bands().alias("bands"))
-    text_of = {r.h1: r.line for r in line_dedup.lines(docs).collect()}
-    linked = {tuple(sorted((text_of[r.a1], text_of[r.b1]))) for r in line_dedup.links(docs, signed).collect()}
-    assert linked <= alike and len(linked) >= 0.98 * len(alike) > 100
+    got = defaultdict(set)
+    for r in line_dedup.shingles(line_dedup.lines(docs), "line").collect():
+        got[r.line].add(r.s)
+    assert {x: len(got[x]) for x in classes} == {x: len(line_shingles(x)) for x in classes}
+    alike, linked = alike_lines(classes), linked_lines(docs)
+    assert linked <= set(alike) and len(alike) > 100 and recall(classes, linked, alike) >= 0.98
+
+
+def test_changed_characters_of_given_lines(spark, documents):
+    """Recall on real lines with one to three changed characters."""
+    rng = random.Random(73)
+    given_lines = sorted({x.strip(" \t\r") for d in documents for x in (d["text"] or "").split("\n") if x.strip()})
+    changed = []
+    for x in rng.sample(given_lines, 700):
+        y = list(x)
+        for _ in range(rng.randint(1, 3)):
+            y[rng.randrange(len(y))] = rng.choice("qxzQXZ#")
+        changed.append(("".join(y).strip(" \t\r"), x))
+    docs = spark.createDataFrame([(i, f"{y}\n{x}") for i, (y, x) in enumerate(changed)], "doc_id long, text string")
+    alike = [(y, x) for y, x in changed if y != x and len(line_shingles(x) & line_shingles(y)) >= 0.8 * len(line_shingles(x) | line_shingles(y))]
+    classes = {x for pair in changed for x in pair}
+    assert len(alike) > 200 and recall(classes, linked_lines(docs), alike) >= 0.98
+
+
+def test_rows_that_repeat_an_id_are_documents(spark):
+    rows = [(2, "X line\nU line"), (2, "V line\nX line"), (3, "X line"), (3, "X line")]
+    kept = [r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter("\n".join(kept).split("\n")) == Counter({"U line": 1, "V line": 1, "X line": 1, "": 2})
 
 
 def test_pairs_among_template_lines(spark):
@@ -126,13 +155,7 @@ def test_pairs_among_template_lines(spark):
     assert all(len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) for x, y in planted)
     assert max(len(sets[made[0]] & sets[y]) / len(sets[made[0]] | sets[y]) for y in made[2:]) < 0.8
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
-    signed = line_dedup.lines(docs).select("doc_id", "n", "h1", "h2", line_dedup._bands().alias("bands")).cache()
-    text_of = {r.h1: r.line for r in line_dedup.lines(docs).collect()}
-    linked = {tuple(sorted((text_of[r.a1], text_of[r.b1]))) for r in line_dedup.links(docs, signed).collect()}
-    assert linked == planted
-    first, crowded = line_dedup.candidates(signed)
-    met = {tuple(sorted((text_of[r.a], text_of[r.b]))) for r in first.collect()}
-    print("planted pairs that meet in a band:", len(met & planted), "crowded lines:", crowded.count())
+    assert linked_lines(docs) == planted
 
 
 def test_lines_of_tricky_rows(tricky, no_docs):
