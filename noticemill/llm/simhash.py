@@ -12,7 +12,7 @@ takes a fixed number of rows for each member.
 The counts are held as a thermometer code (00, 10, 11 for 0, 1, 2), so the Manhattan distance is one XOR and a bit count.
 
 Defined cases: null and empty texts have no words and the fingerprint zero, linked like any other; ties do not matter;
-rows that repeat a doc_id are one document, linked through all of their texts' fingerprints in ``components`` row by row;
+rows that repeat a doc_id are linked row by row, each by its own text;
 a null doc_id never becomes a component id unless nothing else is there; other columns are ignored.
 """
 
@@ -60,16 +60,20 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp as a signed long."""
+    """(doc_id, t, fp) of every row; fp as a signed long, t a hash that tells the texts of one doc_id apart."""
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fps = [_signed(fingerprint(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [_signed(fingerprint(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "t", "fp"])
 
-    narrow = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    return narrow.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    narrow = docs.select("doc_id", _text_hash().alias("t"), F.col("text").cast("string").cast("binary").alias("text"))
+    return narrow.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, fp bigint")
+
+
+def _text_hash() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _groups() -> list[int]:
@@ -123,28 +127,35 @@ def links(classes: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
     return near.unionByName(through)
 
 
-def components(docs: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
-    """(doc_id, fp, component_id, n_members) of every row."""
+def _labelled(docs: DataFrame, hot_cell: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of every row, and (fp, component, n) of every fingerprint with the rows that have it."""
     rows = cut_lineage(fingerprints(docs))
     classes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")))
     found = connected_components(links(classes, hot_cell)).withColumnRenamed("node", "fp")
-    labelled = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return rows, classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def components(docs: DataFrame, hot_cell: int = HOT_CELL) -> DataFrame:
+    """(doc_id, fp, component_id, n_members) of every row."""
+    rows, labelled = _labelled(docs, hot_cell)
     heads = labelled.groupBy("component").agg(F.min("first_doc").alias("component_id"), F.sum("n").alias("n_members"))
     return rows.join(labelled.join(heads, "component").select("fp", "component_id", "n_members"), "fp").select(
         "doc_id", "fp", "component_id", "n_members")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row of each group: that of the smallest doc_id. Rows without an id stay, as nothing can name them.
+    """One row of each group: of the smallest doc_id the one with the smallest text hash, and one of equal such rows.
 
-    If rows repeat an id, one of them stays.
+    Rows without an id stay, as nothing can name them; rows that repeat an id are told apart by their texts.
     """
-    marked = components(docs)
-    heads = marked.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("head")).where("head")
-    once = docs.join(heads.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(heads.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    rows, labelled = _labelled(docs.where("doc_id IS NOT NULL"), HOT_CELL)
+    heads = rows.join(labelled.select("fp", "component"), "fp").groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("head"))
+    same = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("__n"))
+    kept = cut_lineage(heads.select("head.*").join(same, ["doc_id", "t"]).withColumnsRenamed({"doc_id": "__id", "t": "__t"}))
+    found = docs.withColumn("__h", _text_hash()).join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__t")))
+    again = found.where("__n > 1").dropDuplicates(["__id", "__t"])  # equal rows only; any of them will do
+    return found.where("__n = 1").unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(
+        docs.where("doc_id IS NULL"))
 
 
 # --- query ---------------------------------------------------------------------------------------------------------
