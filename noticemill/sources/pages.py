@@ -8,7 +8,6 @@ parser runs in Arrow batches.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,12 +17,13 @@ from pyspark.sql import types as T
 from noticemill import constants as C
 from noticemill.functions import dates as D
 from noticemill.functions import text as X
+from noticemill.functions.markup import LenientParser
 from noticemill.functions.text import blank_to_null, strip, text_or_empty
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-class _Tree(HTMLParser):
+class _Tree(LenientParser):
     """Flat list of elements with parents, and of texts with the element they stand in."""
 
     def __init__(self, html: str):

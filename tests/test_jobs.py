@@ -158,3 +158,10 @@ def test_broadcast_checks_bytes(spark):
 
     rows = spark.createDataFrame([("x" * 100,)], "v string")
     assert is_small(rows) and not is_small(rows, max_bytes=50) and not is_small(rows.union(rows), limit=1)
+
+
+def test_pages_with_unknown_marked_sections(spark):
+    from noticemill.sources.pages import _Tree
+
+    for lead in ("<![foo[bar]]>", "<![ ]>", "<![endif]>", "<!["):
+        assert "text" in {t for _, t in _Tree(f"<p>text</p>{lead}").texts}
