@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticemill.functions.markup import LenientParser
 from noticemill.llm.tables import table
 
 # Fixed values of HTML and of the words that pages use to name their parts.
@@ -34,6 +34,8 @@ NOISE = frozenset("""ad ads adv advert adverts advertisement advertising banner
  consent cookie cookies disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices
  notification pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar
  sidebars social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split())
+#: A class that begins so says something about a part, not that it is one: has-sidebar, no-header.
+MODIFIERS = frozenset("has no with without is".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 CONTENT = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main "
@@ -61,7 +63,8 @@ def is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             if not NOISE.isdisjoint(re.split(r"[^a-z0-9]", x)[0] for x in value.lower().split()):
                 return True
         elif name in ("class", "id") and value and tag not in ("html", "body") and tag not in CONTENT:
-            if not NOISE.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())):
+            names = [re.split(r"[^a-z0-9]+", x) for x in value.lower().split()]
+            if any(x[0] not in MODIFIERS and not NOISE.isdisjoint(x) for x in names):
                 return True
         elif name == "role" and value and value.lower() in NOISE_ROLES:
             return True
@@ -85,7 +88,7 @@ class _Open:
     content: bool
 
 
-class Blocks(HTMLParser):
+class Blocks(LenientParser):
     """Reads a page into blocks."""
 
     def __init__(self):

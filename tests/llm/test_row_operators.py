@@ -272,3 +272,16 @@ def test_page_rows(spark):
     got = html_extraction.extract(pages).collect()
     assert sorted(len(r.text) for r in got) == [0, 1, 599_999]
     assert html_extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_marked_sections_and_modifier_classes():
+    from noticemill.llm.html_extraction import main_text
+
+    body = "".join(f"<p>Paragraph {i}, which says a few words about salt and sugar.</p>" for i in range(6))
+    for lead in ("<![foo[bar]]>", "<![ ]>", "<![endif]>", "<![CDATA[x]]>", "<![", "<!x>"):
+        for page in (f"{lead}<div>{body}</div>", f"<div>{body}{lead}</div>", lead):
+            main_text(page)  # never raises
+    assert main_text(f"<![foo[bar]]><div>{body}</div>").count("Paragraph") == 6
+    for name in ("content has-sidebar", "no-header", "is-social"):
+        assert main_text(f"<div class='{name}'>{body}</div>").count("Paragraph") == 6
+    assert main_text(f"<div class='site-footer'>{body}</div>") == ""
