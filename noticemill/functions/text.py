@@ -182,9 +182,9 @@ def title_similarity(na: Column, nb: Column, grams_a: Column | None = None,
     )
 
 
-def content_similarity(a: Column, b: Column) -> Column:
-    ca = F.substring(text_or_empty(a), 1, C.SIMILARITY_CHARS)
-    cb = F.substring(text_or_empty(b), 1, C.SIMILARITY_CHARS)
+def content_similarity(a: Column, b: Column, chars: int | None = None) -> Column:
+    """Trigram Jaccard of two bodies, of their first ``chars`` characters if given; zero if one is empty."""
+    ca, cb = (text_or_empty(x) if chars is None else F.substring(text_or_empty(x), 1, chars) for x in (a, b))
     return F.when((ca == "") | (cb == ""), F.lit(0.0)).otherwise(
         jaccard(char_ngrams(ca, 3), char_ngrams(cb, 3))
     )

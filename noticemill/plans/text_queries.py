@@ -107,6 +107,15 @@ def text_similarity(spark, sf):
     return grams.select("doc_id", F.round(X.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
+def content_similarity(spark, sf):
+    """Similarity of each document's body with the next one's: whole, and of the first characters only."""
+    docs = V.view(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("o"))
+    return docs.join(other, "doc_id").select(
+        "doc_id", F.round(X.content_similarity(F.col("t"), F.col("o")), 6).alias("whole"),
+        F.round(X.content_similarity(F.col("t"), F.col("o"), C.SIMILARITY_CHARS), 6).alias("heads"))
+
+
 def attachment_sets(spark, sf):
     links = F.array(F.concat(F.lit("http://f/"), F.col("source_item_id"), F.lit("/A.PDF?v=1")),
                     F.concat(F.lit("http://f/x/"), (F.col("notice_id") % 3).cast("string"), F.lit(".doc/")))
@@ -178,6 +187,12 @@ FROM notices"""),
 g AS MATERIALIZED (SELECT doc_id, {_GRAMS.replace('{t}', 't')} AS x FROM d),
 p AS (SELECT a.doc_id, a.x, b.x AS y FROM g a JOIN g b ON a.doc_id = b.doc_id + 1)
 SELECT doc_id, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS jaccard FROM p"""),
+    "content_similarity": (content_similarity, f"""WITH d AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t,
+  regexp_replace(substr(text, 1, {C.SIMILARITY_CHARS}), '^\\s+|\\s+$', '', 'g') AS u FROM documents),
+g AS MATERIALIZED (SELECT doc_id, {_GRAMS.replace('{t}', 't')} AS x, {_GRAMS.replace('{t}', 'u')} AS v FROM d),
+p AS (SELECT a.doc_id, a.x, b.x AS y, a.v, b.v AS w FROM g a JOIN g b ON a.doc_id = b.doc_id - 1)
+SELECT doc_id, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS whole,
+  round(len(list_intersect(v, w)) / (len(v) + len(w) - len(list_intersect(v, w))), 6) AS heads FROM p"""),
     "attachment_names": (attachment_sets, f"""{N} SELECT notice_id, 'a.pdf,' || cast(notice_id % 3 AS string) || '.doc' AS names,
   notice_id % 3 = 1 AS shared FROM notices"""),
     "identity_text": (identity_texts, """SELECT doc_id,
