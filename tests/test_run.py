@@ -52,7 +52,7 @@ def test_deliver_skip_update(spark):
     got = {r.outcome: r.n for r in first.outcomes.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
     assert got == {"primary": 1, "merged": 1, "detail_failed": 1}
     assert sorted((r.source_url, r.reason) for r in state.read("sources").collect()) == [
-        ("http://e/a1", None), ("http://m/a1", "标题、类型、地区与发布日期一致")]
+        ("http://e/a1", None), ("http://m/a1", "标准化标题+区域+日期")]
     assert state.read("reasons").count() == 1 and state.read("history").count() == 1
     funnel = {r.task_id: r for r in first.tables["funnel"].collect()}
     assert (funnel["t1"].raw_count, funnel["t1"].list_filtered, funnel["t1"].candidates) == (5, 2, 2)
