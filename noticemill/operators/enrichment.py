@@ -57,37 +57,47 @@ def _places(word_in, title: Column, region: Column, content: Column) -> Column:
     return F.coalesce(blank_to_null(F.array_join(where, "/")), F.lit("文本"))
 
 
+def _blob(title: Column, region: Column, content: Column) -> Column:
+    return F.concat_ws(" ", blank_to_null(title), blank_to_null(region), blank_to_null(F.substring(content, 1, 3000)))
+
+
 def keyword_basis(title: Column, region: Column, content: Column, keywords: Column) -> Column:
     t, g, c = text_or_empty(title), text_or_empty(region), text_or_empty(content)
-    blob = F.concat_ws(" ", blank_to_null(t), blank_to_null(g), blank_to_null(F.substring(c, 1, 3000)))
     words = F.coalesce(keywords, F.array().cast(_EMPTY))
-    hits = F.filter(words, lambda k: (k != "") & F.contains(blob, k))
-    told = F.transform(hits, lambda k: F.concat(F.lit("「"), k, F.lit("」出现于"),
-                                                _places(lambda s: F.contains(s, k), t, g, c)))
-    return (F.when(F.size(words) == 0, "查询未指定关键词，未做关键词过滤").when(F.size(hits) > 0, F.array_join(told, "；"))
-            .otherwise("正文/标题未直接命中查询关键词（可能由列表摘要阶段入选）"))
+
+    def told(hits: Column) -> Column:
+        each = F.transform(hits, lambda k: F.concat(F.lit("「"), k, F.lit("」出现于"), _places(lambda s: F.contains(s, k), t, g, c)))
+        return F.when(F.size(hits) > 0, F.array_join(each, "；")).otherwise("正文/标题未直接命中查询关键词（可能由列表摘要阶段入选）")
+
+    found = X.let(_blob(t, g, c), lambda blob: X.let(F.filter(words, lambda k: (k != "") & F.contains(blob, k)), told))
+    return F.when(F.size(words) == 0, "查询未指定关键词，未做关键词过滤").otherwise(found)
 
 
 def region_basis(title: Column, region: Column, content: Column, regions: Column) -> Column:
     t, g, c = text_or_empty(title), text_or_empty(region), text_or_empty(content)
-    blob = F.concat_ws(" ", blank_to_null(t), blank_to_null(g), blank_to_null(F.substring(c, 1, 3000)))
     names = F.coalesce(regions, F.array().cast(_EMPTY))
 
     def seen(r: Column):
-        short = X.short_region(r)
-        return lambda s: F.contains(s, r) | ((short != "") & F.contains(s, short))
-
-    hits = F.filter(names, lambda r: seen(r)(blob))
-    told = F.transform(hits, lambda r: F.concat(F.lit("「"), r, F.lit("」见于"), _places(seen(r), t, g, c)))
-    asked = F.concat(names, F.transform(names, lambda r: X.short_region(r, ("省", "市", "自治区"))))
-    provinces = F.array(*[F.lit(p) for p in C.PROVINCE_NAMES])
-    foreign = F.filter(provinces, lambda p: F.contains(t, p) & ~F.exists(asked, lambda q: F.contains(q, p)))
-    few = F.array_join(F.slice(foreign, 1, 3), "、")
-    warn = F.when(F.size(foreign) > 0, F.concat(F.lit("。注意：标题另含地区词「"), few, F.lit("」，请结合正文核对是否属查询区域"))).otherwise("")
-    other = F.when(F.size(foreign) > 0, F.concat(F.lit("。标题出现其他地区："), few)).otherwise("")
+        return lambda s: F.contains(s, r["name"]) | ((r["short"] != "") & F.contains(s, r["short"]))
+
+    # what follows mentions these again and again, so each is evaluated once: names with their short forms, hits, other provinces
+    shortened = F.transform(names, lambda r: F.struct(r.alias("name"), X.short_region(r).alias("short")))
+    hits = X.let(shortened, lambda pairs: X.let(_blob(t, g, c), lambda blob: F.filter(pairs, lambda r: seen(r)(blob))))
+    provinces = F.filter(F.array(*[F.lit(p) for p in C.PROVINCE_NAMES]), lambda p: F.contains(t, p))
+    foreign = X.let(provinces, lambda named: F.when(F.size(named) == 0, named).otherwise(X.let(
+        F.concat(names, F.transform(names, lambda r: X.short_region(r, ("省", "市", "自治区")))),
+        lambda asked: F.filter(named, lambda p: ~F.exists(asked, lambda q: F.contains(q, p))))))
     nothing = F.lit("标题/正文/地区字段未检出查询区域词；若仍入选，可能因列表阶段区域字段缺失，请人工复核")
-    return (F.when(F.size(names) == 0, "查询未指定区域").when(F.size(hits) > 0, F.concat(F.array_join(told, "；"), warn))
-            .otherwise(F.concat(nothing, other)))
+
+    def told(found: Column, others: Column) -> Column:
+        few = F.array_join(F.slice(others, 1, 3), "、")
+        each = F.transform(found, lambda r: F.concat(F.lit("「"), r["name"], F.lit("」见于"), _places(seen(r), t, g, c)))
+        warn = F.when(F.size(others) > 0, F.concat(F.lit("。注意：标题另含地区词「"), few, F.lit("」，请结合正文核对是否属查询区域"))).otherwise("")
+        other = F.when(F.size(others) > 0, F.concat(F.lit("。标题出现其他地区："), few)).otherwise("")
+        return F.when(F.size(found) > 0, F.concat(F.array_join(each, "；"), warn)).otherwise(F.concat(nothing, other))
+
+    return F.when(F.size(names) == 0, "查询未指定区域").otherwise(
+        X.let(hits, lambda found: X.let(foreign, lambda others: told(found, others))))
 
 
 def time_basis(publish_time: Column, start: Column, end: Column) -> Column:

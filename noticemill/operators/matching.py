@@ -23,6 +23,8 @@ _TASK_COLUMNS = ("task_id", "keywords", "regions", "start_date", "end_date")
 
 #: Anchors up to which a text's bigrams are narrowed by a list inside the plan.
 ANCHOR_LIST = 5_000
+#: Anchors up to which each is looked for in a text; cutting the text into bigrams costs as much as some dozens of these.
+ANCHORS_SOUGHT = 64
 _COMMON = sorted({w[i:i + 2] for w in C.TENDER_TERMS for i in range(len(w) - 1)})
 
 
@@ -75,10 +77,14 @@ def match_subscriptions(items: DataFrame, tasks: DataFrame) -> DataFrame:
              .withColumn("term", F.explode(F.array_distinct("t_keywords"))).where("term <> ''"))
     words = terms.select("term").distinct().withColumn("anchor", _rare_anchor(F.col("term")))
     single = not terms.where(F.length("term") == 1).isEmpty()
-    grams = _anchors("_blob", single)
     used = [r.anchor for r in words.select("anchor").distinct().limit(ANCHOR_LIST + 1).collect()]
-    if len(used) <= ANCHOR_LIST:
-        grams = F.array_intersect(grams, F.array(*[F.lit(a) for a in used]).cast("array<string>"))
+    listed = F.array(*[F.lit(a) for a in used]).cast("array<string>")
+    if len(used) <= ANCHORS_SOUGHT:
+        grams = F.filter(listed, lambda a: F.contains(F.col("_blob"), a))
+    elif len(used) <= ANCHOR_LIST:
+        grams = F.array_intersect(_anchors("_blob", single), listed)
+    else:
+        grams = _anchors("_blob", single)
     by_term = (
         texts.withColumn("anchor", F.explode_outer(grams))
         .join(broadcast_if_small(words), "anchor").drop("anchor")
