@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ LABEL_KEYS = (
 BODY_CHARS = 30_000
 TITLE_PROBE = 16
 TITLE_PROBE_MIN = 6
+#: Levels of a payload that are walked before what is left is stored.
+LEVELS = 8
 
 
 def list_items(payloads: DataFrame) -> DataFrame:
@@ -53,9 +57,8 @@ def list_items(payloads: DataFrame) -> DataFrame:
 def _scalar(node: Column, key: str) -> Column:
     """Text of a key that holds a plain value."""
     text = F.try_variant_get(node, "$." + key, "string")
-    container = F.schema_of_variant(F.try_variant_get(node, "$." + key, "variant"))
-    return F.when(~F.startswith(F.coalesce(container, F.lit("")), F.lit("OBJECT"))
-                  & ~F.startswith(F.coalesce(container, F.lit("")), F.lit("ARRAY")), blank_to_null(strip(text)))
+    # most keys are absent, and what a key holds is only looked at where it has a text
+    return F.when(text.isNotNull() & ~_is_container(F.try_variant_get(node, "$." + key, "variant")), blank_to_null(strip(text)))
 
 
 def first_value(node: Column, keys) -> Column:
@@ -80,50 +83,72 @@ def _next_level(children: DataFrame) -> DataFrame | None:
     return None if deeper.isEmpty() else deeper.withColumn("node", F.parse_json("node"))
 
 
+def _any_key(node: Column, keys) -> Column:
+    """Whether a node holds one of the keys, with any value but null."""
+    return F.coalesce(*[F.try_variant_get(node, "$." + k, "variant") for k in keys]).isNotNull()
+
+
+def _says(node: Column, keys, value: Column) -> Column:
+    """Whether the first key that holds a plain value holds this one; most nodes have none, and are told by it at once."""
+    some = [strip(F.try_variant_get(node, "$." + k, "string")) == value for k in keys]
+    return F.coalesce(functools.reduce(lambda x, y: x | y, [F.coalesce(c, F.lit(False)) for c in some])
+                      & (first_value(node, keys) == value), F.lit(False))
+
+
+def _down(level: DataFrame) -> DataFrame:
+    """Nodes judged and replaced by their children; a hit stays as it is, as it stands before all nodes inside it."""
+    node = F.col("node")
+    titled = F.coalesce(F.contains(X.word_text(F.coalesce(first_value(node, TITLE_KEYS), F.lit(""))), F.col("probe")), F.lit(False))
+    told = level.withColumn("verified", F.when(F.col("verified"), True).otherwise(_says(node, ID_KEYS, F.col("business_id")) & titled))
+    judged = told.withColumn("hit", F.when(F.col("hit"), True).when(F.col("verified"), _any_key(node, DETAIL_KEYS)).otherwise(False))
+    below = F.coalesce(F.map_values(F.try_variant_get(node, "$", "map<string,variant>")), F.try_variant_get(node, "$", "array<variant>"))
+    ids = ["payload_id", "business_id", "probe", "verified", "hit"]
+    kids = judged.select(*ids, F.col("path").alias("up"), F.posexplode(F.when(F.col("hit"), F.array(node)).otherwise(below)).alias("pos", "node"))
+    return kids.select(*ids, F.when(F.col("hit"), F.col("up")).otherwise(F.array_append("up", F.col("pos"))).alias("path"), "node")
+
+
 def verified_details(payloads: DataFrame) -> DataFrame:
     """First detail node of each payload that can be tied to its list item.
 
     Needs payload_id, business_id, title, body. A node counts if its id is equal and
     the head of the item's title occurs in its title, or if a node around it does.
-    Levels are walked until no container is left; siblings come in key order.
+    ``LEVELS`` levels are walked in one stage, until no container is left; siblings come in key order.
     """
     probe = F.substring(X.word_text(F.col("title")), 1, TITLE_PROBE)
-    level = payloads.select("payload_id", "business_id", probe.alias("probe"), F.array().cast("array<int>").alias("path"),
-                            F.lit(False).alias("verified"), F.try_parse_json("body").alias("node"))
+    level = payloads.select("payload_id", "business_id", probe.alias("probe"), "body").where(
+        (F.col("business_id") != "") & (F.length("probe") >= TITLE_PROBE_MIN)).select(
+        "payload_id", "business_id", "probe", F.lit(False).alias("verified"), F.lit(False).alias("hit"),
+        F.array().cast("array<int>").alias("path"), F.try_parse_json("body").alias("node"))
     found = None
     while True:
-        node = F.col("node")
-        own = (F.coalesce(first_value(node, ID_KEYS), F.lit("")) == F.col("business_id")) & (F.col("business_id") != "") & (
-            F.length("probe") >= TITLE_PROBE_MIN) & F.contains(X.word_text(F.coalesce(first_value(node, TITLE_KEYS), F.lit(""))),
-                                                               F.col("probe"))
-        checked = level.withColumn("verified", F.col("verified") | F.coalesce(own, F.lit(False)))
-        has = F.lit(False)
-        for key in DETAIL_KEYS:
-            has = has | F.try_variant_get(node, "$." + key, "variant").isNotNull()
-        hits = checked.where("verified").where(has).select("payload_id", "path", "node")
+        for _ in range(LEVELS):
+            level = _down(level)
+        left = level.where(F.col("hit") | _is_container(F.col("node"))).withColumn("node", F.to_json("node"))
+        walked = cut_lineage(left)
+        hits = walked.where("hit").select("payload_id", "path", F.col("node").alias("body"))
         found = hits if found is None else found.unionByName(hits)
-        deeper = _next_level(_children(checked, ["payload_id", "business_id", "probe", "verified"]))
-        if deeper is None:
+        level = walked.where("NOT hit")
+        if level.isEmpty():
             break
-        level = deeper.select("payload_id", "business_id", "probe", F.array_append("up", F.col("pos").cast("int")).alias("path"),
-                              "verified", "node")
-    texts = found.withColumn("body", F.to_json("node")).drop("node")
-    return texts.groupBy("payload_id").agg(F.min_by("body", "path").alias("detail"))
+        level = level.withColumn("node", F.parse_json("node"))
+    return found.groupBy("payload_id").agg(F.min_by("body", "path").alias("detail"))
 
 
 def detail_text(details: DataFrame, title: str = "title") -> DataFrame:
     """Labelled lines of a verified detail plus its body text (column ``detail_text``)."""
     node = F.parse_json("detail")
-    staged = details.withColumn("_node", node).withColumn(
-        "_body", F.substring(main_text(first_value(F.col("_node"), BODY_KEYS)), 1, BODY_CHARS))
+    staged = details.withColumn("_node", node).withColumns({
+        "_body": F.substring(main_text(first_value(F.col("_node"), BODY_KEYS)), 1, BODY_CHARS),
+        "_values": F.array(*[first_value(F.col("_node"), keys) for _label, keys in LABEL_KEYS])})
     lines = []
-    for i, (label, keys) in enumerate(LABEL_KEYS):
-        value = first_value(F.col("_node"), keys)
+    for i, (label, _keys) in enumerate(LABEL_KEYS):
+        value = F.get("_values", F.lit(i))
         lines.append(F.concat(F.lit(label + "："), F.coalesce(value, F.col(title)) if i == 0 else value))
     body = text_or_empty(F.col("_body"))
-    others = F.coalesce(*[first_value(F.col("_node"), keys) for _label, keys in LABEL_KEYS[1:]])
+    others = F.array_compact(F.slice("_values", 2, len(LABEL_KEYS) - 1))
     text = F.concat_ws("\n", *lines, F.when(body != "", F.concat(F.lit("公告正文：\n"), body)))
-    return staged.withColumn("detail_text", F.when((body == "") & others.isNull(), "").otherwise(text)).drop("_node", "_body")
+    empty = (body == "") & (F.size(others) == 0)
+    return staged.withColumn("detail_text", F.when(empty, "").otherwise(text)).drop("_node", "_body", "_values")
 
 
 def attachment_urls(payloads: DataFrame) -> DataFrame:

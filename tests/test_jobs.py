@@ -165,3 +165,29 @@ def test_pages_with_unknown_marked_sections(spark):
 
     for lead in ("<![foo[bar]]>", "<![ ]>", "<![endif]>", "<!["):
         assert "text" in {t for _, t in _Tree(f"<p>text</p>{lead}").texts}
+
+
+def test_payload_walk_in_one_stage(spark, monkeypatch):
+    """Nodes of any depth are found, few stages store what is left, and of several hits the first in key order counts."""
+    title = "安徽省服务器采购公告"
+
+    def around(inner, depth):
+        for i in range(depth):
+            inner = '[0,%s]' % inner if i % 2 else '{"a":1,"z":%s}' % inner
+        return inner
+
+    own = '{"id":"b1","title":"%s","x":%%s}' % title
+    two = own % '{"k":[{"content":"第二"}],"b":{"content":"第一","deep":{"content":"内"}}}'
+    rows = [(d, "b1", title, around(own % '{"y":{"content":"深"}}', d)) for d in (0, 3, 7, 8, 20)] + [
+        (100, "b1", title, two), (101, "b1", "短", own % '{"content":"x"}'), (102, "", title, two), (103, None, title, two),
+        (104, "b1", title, "{"), (105, "b1", title, None), (106, "b1", title, '{"id":{"id":"b1"},"title":"%s","content":"x"}' % title),
+        (107, "7", title, '{"businessId":null,"id":7,"title":"%s","content":"数"}' % title),
+        (108, "b1", title, '{"businessId":"b2","id":"b1","title":"%s","content":"x"}' % title)]
+    df = spark.createDataFrame(rows, "payload_id long, business_id string, title string, body string")
+    stored = []
+    monkeypatch.setattr(payloads, "cut_lineage", lambda d: stored.append(1) or d.localCheckpoint())
+    found = payloads.verified_details(df).join(df.select("payload_id", "title"), "payload_id")
+    got = {r.payload_id: r.detail_text for r in payloads.detail_text(found).collect()}
+    deep = {d: f"项目名称：{title}\n公告正文：\n深" for d in (0, 3, 7, 8, 20)}
+    assert got == deep | {100: f"项目名称：{title}\n公告正文：\n第一", 107: f"项目名称：{title}\n公告正文：\n数"}
+    assert len(stored) <= 4
