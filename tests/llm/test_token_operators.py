@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +252,22 @@ def test_collocations_equal_brute_force(spark, documents, tricky, monkeypatch, s
         assert got == brute_collocations(docs, support, top)
 
 
+def test_collocations_shuffle_short_hashes_and_few_phrases(spark, documents):
+    frame = spark.createDataFrame([(d["lang"], d["text"]) for d in documents], "lang string, text string").repartition(4)
+    found = collocations.mined(collocations.coded(frame), 8)
+    assert found.where(f"h < 0 OR h >= {1 << 40}").count() == 0
+    # A phrase is counted only if its parts may be frequent too.
+    frame = spark.createDataFrame([("en", "a b c")], "lang string, text string")
+    codes = collocations._word_codes(pa.array(["a", "b", "c"]))
+    hashes = [int(h[i]) & 0x7FFFFFFFFFFFFFFF for h, whole in collocations._phrase_hashes(codes, "en") for i in range(len(h))]
+
+    def phrases(some):
+        return {r.phrase for r in collocations.counted(frame, spark.createDataFrame([(h,) for h in some], "h long")).collect()}
+
+    assert phrases(hashes) == {"a", "b", "c", "a b", "b c", "a b c"}
+    assert phrases(hashes[:3] + hashes[4:]) == {"a", "b", "c", "b c"}
+
+
 def test_collocations_of_no_documents_and_sql(spark, no_docs):
     assert collocations.collocations(no_docs).count() == 0
     for name, (fn, sql) in collocations.ENTRIES.items():
