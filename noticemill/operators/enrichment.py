@@ -58,7 +58,8 @@ def _places(word_in, title: Column, region: Column, content: Column) -> Column:
 
 
 def _blob(title: Column, region: Column, content: Column) -> Column:
-    return F.concat_ws(" ", blank_to_null(title), blank_to_null(region), blank_to_null(F.substring(content, 1, 3000)))
+    """All that a word may stand in, the whole content included."""
+    return F.concat_ws(" ", blank_to_null(title), blank_to_null(region), blank_to_null(content))
 
 
 def keyword_basis(title: Column, region: Column, content: Column, keywords: Column) -> Column:

@@ -28,3 +28,11 @@ def test_few_anchors_match_like_many(spark, monkeypatch):
     few = pairs()
     monkeypatch.setattr(matching, "ANCHORS_SOUGHT", 0)
     assert few and few == pairs()
+
+
+def test_words_at_the_end_of_a_long_text_are_found(spark):
+    rows = spark.createDataFrame([("项目", "", "字" * 5000 + "服务器采购于安徽")], "title string, region string, clean_content string")
+    t, g, c = (F.col(x) for x in rows.columns)
+    got = rows.select(enrichment.keyword_basis(t, g, c, F.array(F.lit("服务器"))).alias("k"),
+                      enrichment.region_basis(t, g, c, F.array(F.lit("安徽省"))).alias("r")).first()
+    assert tuple(got) == ("「服务器」出现于正文", "「安徽省」见于正文")
